@@ -150,6 +150,7 @@ def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataF
     """(set_id, shingles) of wanted's (set_id, doc_id), from the texts once more."""
     schema = "set_id long, shingles array<long>"
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    wanted = wanted.hint("merge")  # it grows with the corpus; the same plan at every size
     rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "_text")
 
     def run(batches):
