@@ -342,3 +342,12 @@ def jaccard_components(
     classes = classes.join(smallest, "root").select("set_id", "component_id")
     out = signed.select("doc_id", "set_id", "n_shingles").join(classes, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id. Rows that share an id
+    stay or go together; rows with a null id stay."""
+    found = jaccard_components(docs, doc_id, text, n, percent)
+    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = gone.hint("merge")  # it grows with the corpus; the same plan at every size
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

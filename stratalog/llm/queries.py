@@ -60,6 +60,28 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out, F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.secret_scan import made_findings, redact, scan, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = scan(docs, train(made_findings(spark)))
+    clean = F.when(F.size("findings") > 0, redact(F.col("text"), F.col("findings"))).otherwise(F.coalesce("text", F.lit("")))
+    return out.select(
+        "doc_id",
+        "n_candidates",
+        F.size("findings").cast("long").alias("n_findings"),
+        F.transform("findings", lambda f: F.sha2(f["value"], 256)).alias("finding_sha256"),
+        F.sha2(clean, 256).alias("redacted_sha256"),
+    )
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratalog.llm.token_counts import count_tokens, read_ranks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, read_ranks(tokenizer_path("byte_bpe_50k.tiktoken")), columns=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.quality_rules import apply_rules
 
