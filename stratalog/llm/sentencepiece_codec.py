@@ -47,10 +47,16 @@ class MergeEncoder:
         self.bytes_at = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
         # A piece that merging its own characters doesn't give can't occur in a result.
-        self.usable = {p for p in self.ids if len(p) == 1 or self._merge(p) == [p]}
+        self.usable, self.halves, self.last_halves = set(), {}, ("", "")
+        for p in self.ids:
+            if len(p) == 1 or self._merge(p) == [p]:
+                self.usable.add(p)
+                if len(p) > 1:
+                    self.halves[p] = self.last_halves
+        self.ranks = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p]))}
         self.automaton = ahocorasick.Automaton()
         for p in self.usable:
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, len(p))
         if len(self.automaton):
             self.automaton.make_automaton()
         self.shorter: dict[str, str | None] = {}
@@ -61,11 +67,13 @@ class MergeEncoder:
         inner = "".join(re.escape(c) for c in sorted(joined - {SPACE}))
         self.parts = re.compile((f"{SPACE}*[{inner}]+|" if inner else "") + f"{SPACE}+|[^{SPACE}{inner}]+") if not self.crossed else re.compile(r"(?s).+")
         self.inner = joined
-        self.table: dict[str, tuple[str, int, list[int]]] = {}
+        self.table: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
         self.table_size = table_size
 
     def _merge(self, text: str) -> list[str]:
-        """Plain merging: the best-scored neighbours first, the left one of equals."""
+        """Plain merging: the best-scored neighbours first, the left one of equals. Keeps the two
+        halves of the last merge."""
         left, right = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
         part: list[str | None] = list(text)
         queue: list[tuple[float, int, int, str]] = []
@@ -80,6 +88,7 @@ class MergeEncoder:
             _, a, b, both = heapq.heappop(queue)
             if part[a] is None or part[b] is None or right[a] != b or part[a] + part[b] != both:
                 continue
+            self.last_halves = (part[a], part[b])
             part[a], part[b], right[a] = both, None, right[b]
             if right[b] >= 0:
                 left[right[b]] = a
@@ -88,11 +97,32 @@ class MergeEncoder:
         return [p for p in part if p is not None]
 
     def _compatible(self, a: str, b: str) -> bool:
+        """Whether merging the characters of a + b anew ends in a and b: no merge across the border
+        comes before the merges that made the two. These are undone from the last one on, and the
+        border's neighbours are compared with the ones undone so far. Equal scores (runs of spaces)
+        depend on places, so there the merging is done in full."""
         key = (a, b)
-        if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            known = self.fits[key] = self._merge(a + b) == [a, b]
+        if (known := self.fits.get(key)) is not None:
+            return known
+        if len(self.fits) >= 300_000:
+            self.fits.clear()
+        if SPACE + SPACE in a + b:
+            known = self._merge(a + b) == [a, b]
+        else:
+            ranks, halves, last = self.ranks, self.halves, 1 << 60
+            while True:
+                if ranks.get(a + b, last) < last:
+                    known = False
+                    break
+                of_a, of_b = (ranks[a] if a in halves else -1), (ranks[b] if b in halves else -1)
+                if of_a > of_b:
+                    last, a = of_a, halves[a][1]
+                elif of_b >= 0:
+                    last, b = of_b + 1, halves[b][0]  # of equal merges the left one comes first
+                else:
+                    known = True
+                    break
+        self.fits[key] = known
         return known
 
     def _next_shorter(self, piece: str) -> str | None:
@@ -101,45 +131,43 @@ class MergeEncoder:
             self.shorter[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.usable), None)
         return self.shorter[piece]
 
-    def _longest(self, text: str) -> list[str | None]:
-        """For each position the longest piece that starts there."""
-        found: list[str | None] = [None] * len(text)
+    def _longest(self, text: str) -> list[int]:
+        """For each position the length of the longest piece that starts there, 1 if there is none.
+        Matches come by their ends, so of those with one start the longest comes last."""
+        found = [1] * len(text)
         if len(self.automaton):
-            for end, p in self.automaton.iter(text):
-                at = end - len(p) + 1
-                if found[at] is None or len(found[at]) < len(p):
-                    found[at] = p
+            for end, size in self.automaton.iter(text):
+                found[end - size + 1] = size
         return found
 
     def backtrack(self, text: str) -> list[str]:
         """The pieces of text; characters that are no piece stand for themselves."""
-        longest, failed = self._longest(text), bytearray(len(text) // 8 + 1)
-        at, pieces = 0, []
-        token = (longest[0] or text[0]) if text else None
-        while at < len(text):
-            before = pieces[-1] if pieces else None
-            while True:
-                end = at + len(token)
-                if not (failed[end >> 3] >> (end & 7)) & 1 and (before is None or self._compatible(before, token)):
+        if not text:
+            return []
+        longest, failed, fits = self._longest(text), bytearray(len(text) // 8 + 1), self.fits
+        at, end, total, pieces = 0, longest[0], len(text), []
+        before, token = None, text[: longest[0]]
+        while True:
+            if not (failed[end >> 3] >> (end & 7)) & 1:
+                fit = True if before is None else fits.get((before, token))
+                if fit if fit is not None else self._compatible(before, token):
                     pieces.append(token)
-                    at = end
-                    token = (longest[at] or text[at]) if at < len(text) else None
-                    break
+                    if end == total:
+                        return pieces
+                    at, before = end, token
+                    end = at + longest[at]
+                    token = text[at:end]
+                    continue
+            token = self._next_shorter(token)
+            while token is None:  # nothing that starts here fits: back to the piece before
+                failed[at >> 3] |= 1 << (at & 7)
+                if not pieces:
+                    raise ValueError("no segmentation: the vocabulary is not of merge type")
+                token = pieces.pop()
+                at -= len(token)
+                before = pieces[-1] if pieces else None
                 token = self._next_shorter(token)
-                if token is None:
-                    failed[at >> 3] |= 1 << (at & 7)
-                    if not pieces:
-                        raise ValueError("no segmentation: the vocabulary is not of merge type")
-                    token = pieces.pop()
-                    at -= len(token)
-                    token = self._next_shorter(token)
-                    while token is None:
-                        failed[at >> 3] |= 1 << (at & 7)
-                        token = pieces.pop()
-                        at -= len(token)
-                        token = self._next_shorter(token)
-                    before = pieces[-1] if pieces else None
-        return pieces
+            end = at + len(token)
 
     def _ids_of(self, part: str) -> list[int]:
         out: list[int] = []
@@ -152,26 +180,30 @@ class MergeEncoder:
                 out.append(self.unknown)
         return out
 
-    def _entry(self, part: str) -> tuple[str, int, list[int]]:
-        if len(part) > 256:
-            ids = self._ids_of(part)
-            return ",".join(map(str, ids)), len(ids), ids
-        if (known := self.table.get(part)) is None:
-            if len(self.table) >= self.table_size:
-                self.table.clear()
+    def _entry(self, part: str) -> tuple[str, tuple[int, ...]]:
+        """The part's ids as text and list. The table has two generations: a full one becomes the
+        older, and what is still used moves over from there, so frequent parts stay."""
+        if (known := self.older.pop(part, None)) is None:
             ids = self._ids_of(part)
-            known = self.table[part] = (",".join(map(str, ids)), len(ids), ids)
+            known = (",".join(map(str, ids)), tuple(ids))
+            if len(part) > 256:
+                return known
+        if len(self.table) >= self.table_size:
+            self.older, self.table = self.table, {}
+        self.table[part] = known
         return known
 
     def prepared(self, text: str) -> str:
         return (" " + text).replace(" ", SPACE) if text else ""
 
-    def entries(self, text: str) -> list[tuple[str, int, list[int]]]:
-        entry = self._entry
-        return [entry(p) for p in self.parts.findall(self.prepared(text))]
+    def entries(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
+        entry, out = self._entry, []
+        for p in self.parts.findall(self.prepared(text)):
+            out.append(self.table.get(p) or entry(p))
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for e in self.entries(text or "") for i in e[2]]
+        return [i for _, own in self.entries(text or "") for i in own]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -214,8 +246,8 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", ids: bool = T
             columns: dict[str, list] = {n: [] for n, _ in wanted}
             for value in batch.column(text).to_pylist():
                 parts = codec.entries(value or "")
-                columns["n_tokens"].append(sum(e[1] for e in parts))
-                own = [i for e in parts for i in e[2]]
+                own = [i for _, ids_of in parts for i in ids_of]
+                columns["n_tokens"].append(len(own))
                 back = codec.decode(own) if own else ""
                 if ids:
                     columns["token_ids"].append(own)
