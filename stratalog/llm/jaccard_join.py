@@ -21,7 +21,7 @@ that a pivot only ever meets documents that may be near it:
 Regions return a spanning forest of their links, so a group of N copies makes fewer than N rows per
 task. Equal sets are one class before any of this. Components come from alternating star
 contraction, on tables of classes, with no collection on the driver. Nothing is capped or sampled:
-`block_shingles` only decides how large a task gets.
+`block_shingles` and `bucket_bytes` only decide how large a task gets.
 
 Defined results: null or wordless texts have the empty set and are linked with nothing, each its
 own component; a text of fewer than n words has its whole sequence as its one shingle; rows with
@@ -78,11 +78,19 @@ class Shingler:
         return np.unique(out)
 
 
+def set_id(shingles) -> int:
+    """A 64-bit hash of a set's shingles."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return int(_mix(np.add.reduce(_mix(shingles ^ np.uint64(0x51ED270B)), keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+
+
 def ring_edges(limit: int = 1 << 40) -> list[int]:
-    """Lower edges of the rings of sizes, each about a quarter above the one before."""
+    """Lower edges of the rings of sizes, each about half above the one before."""
     edges = [1]
     while edges[-1] < limit:
-        edges.append(max(edges[-1] + 1, edges[-1] * 5 // 4))
+        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
     return edges
 
 
@@ -111,65 +119,172 @@ def part_keys(shingles, edges, percent: int):
             sums[present] = np.add.reduceat(_mix(shingles[order] ^ np.uint64(ring + 1)), first)
             keys.append(_mix(sums ^ _mix(np.arange(parts, dtype=np.uint64) + np.uint64((ring + 1) << 40))))
         ring += 1
-    return np.concatenate(keys).view(np.int64)
+    return np.concatenate(keys)
 
 
-def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int) -> DataFrame:
-    schema = "doc_id long, set_id long, n_shingles long, part_keys array<long>"
+SIGNED = (
+    "kind int, doc_id long, set_id long, n_shingles long, block long, member int, bucket int, first long, steps binary, members binary"
+)
+DOCUMENT, KEYS, FREQUENT = 0, 1, 2
+KEY_BITS, BLOCK_SETS, BLOCK_KEYS, ELSEWHERE, FILLER = 48, 60_000, 2_000_000, 65_001, 65_002
+FREQUENT_SETS = 32
+
+
+def _key_rows(block: int, keys: list, buckets: int):
+    """(bucket, first, steps, members) rows of a block's keys, sorted, as steps of 32 bits with the
+    sets' numbers in the block; and (key, members) rows of those that FREQUENT_SETS sets or more
+    share, which stand in the others' rows as one mark."""
+    import numpy as np
+
+    member = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    flat = np.concatenate(keys) >> np.uint64(64 - KEY_BITS)
+    order = np.argsort(flat, kind="stable")
+    flat, member = flat[order].astype(np.int64), member[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    size = np.diff(np.concatenate((first, [len(flat)])))
+    frequent, keep = [], np.ones(len(flat), dtype=bool)
+    for at, n in zip(first[size >= FREQUENT_SETS].tolist(), size[size >= FREQUENT_SETS].tolist()):
+        frequent.append((int(flat[at]), member[at : at + n].astype("<u2").tobytes()))
+        keep[at + 1 : at + n] = False
+        member[at] = ELSEWHERE
+    flat, member = flat[keep], member[keep]
+    width = -(-(1 << KEY_BITS) // buckets)
+    bucket, rows = flat // width, []
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        own, who = flat[a:b], member[a:b]
+        steps = np.diff(own, prepend=own[0])
+        if (steps >> 32).any():  # steps of more than 32 bits are made of several
+            fill = steps >> 32
+            places = np.repeat(np.arange(len(own)), fill + 1)
+            last = np.concatenate((places[1:] != places[:-1], [True]))
+            who = np.where(last, who[places], FILLER)
+            steps = np.where(last, steps[places] - (fill[places] << 32) + fill[places], (1 << 32) - 1)
+        rows.append((int(bucket[a]), int(own[0]), steps.astype("<u4").tobytes(), who.astype("<u2").tobytes()))
+    return rows, frequent
+
+
+def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, buckets: int) -> DataFrame:
+    """DOCUMENT rows: each document's set and, where its keys follow, its block and number there.
+    KEYS and FREQUENT rows: the keys of a block's sets."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        schema = pa.schema(
+            [("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "set_id", "n_shingles", "block")), ("member", pa.int32()), ("bucket", pa.int32()),
+             ("first", pa.int64()), ("steps", pa.binary()), ("members", pa.binary())]
+        )
         shingler, edges, seen = Shingler(n), ring_edges(), set()
+        block, keys, held = (TaskContext.get().partitionId() << 24), [], 0
+
+        def flush():
+            rows, frequent = _key_rows(block, keys, buckets)
+            out = [(KEYS, None, None, None, block, None, *r) for r in rows] + [(FREQUENT, None, None, None, block, None, None, k, None, m) for k, m in frequent]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
         for batch in byte_batches(batches, text, 8 << 20):
-            sets, sizes, keys = [], [], []
-            for value in utf8(batch.column(text)):
+            out = []
+            for did, value in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), utf8(batch.column(text))):
                 s = shingler(value)
-                sizes.append(len(s))
                 if not len(s):
-                    sets.append(None)
-                    keys.append(None)
+                    out.append((DOCUMENT, did, None, 0, None, None, None, None, None, None))
                     continue
-                with np.errstate(over="ignore"):
-                    sid = int(_mix(np.add.reduce(_mix(s ^ np.uint64(0x51ED270B)), keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
-                sets.append(sid)
+                sid = set_id(s)
                 if len(seen) > 500_000:
                     seen.clear()
-                keys.append(None if sid in seen else part_keys(s, edges, percent))
+                if sid in seen:
+                    out.append((DOCUMENT, did, sid, len(s), None, None, None, None, None, None))
+                    continue
                 seen.add(sid)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(doc_id).cast(pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "set_id", "n_shingles", "part_keys"],
-            )
+                out.append((DOCUMENT, did, sid, len(s), block, len(keys), None, None, None, None))
+                keys.append(part_keys(s, edges, percent))
+                held += len(keys[-1])
+                if len(keys) >= BLOCK_SETS or held >= BLOCK_KEYS:
+                    yield flush()
+                    block, keys, held = block + 1, [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        if keys:
+            yield flush()
+        del np
+
+    return docs.select(doc_id, text).mapInArrow(run, SIGNED)
+
+
+def _shared_keys(signed: DataFrame) -> DataFrame:
+    """(key, block, member) of the keys that several sets have. Rows of a bucket meet in one task;
+    what a bucket holds is bounded by buckets and by the marks that stand for frequent keys."""
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+        keys, members, blocks = [], [], []
+        for first, steps, who, block in zip(*(table.column(c).to_pylist() for c in ("first", "steps", "members", "block"))):
+            steps = np.frombuffer(steps, dtype="<u4").astype(np.int64)
+            keys.append(first + np.cumsum(steps))
+            members.append(np.frombuffer(who, dtype="<u2"))
+            blocks.append(np.full(len(steps), block, dtype=np.int64))
+        keys, members, blocks = np.concatenate(keys), np.concatenate(members).astype(np.int32), np.concatenate(blocks)
+        real = members != FILLER
+        keys, members, blocks = keys[real], members[real], blocks[real]
+        order = np.argsort(keys, kind="stable")
+        keys, members, blocks = keys[order], members[order], blocks[order]
+        same = keys[1:] == keys[:-1]
+        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        several &= members != ELSEWHERE
+        return pa.table({"key": pa.array(keys[several], pa.int64()), "block": pa.array(blocks[several], pa.int64()), "member": pa.array(members[several], pa.int32())})
+
+    met = signed.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(meet, "key long, block long, member int")
+
+    def spread(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for first, block, who in zip(*(batch.column(c).to_pylist() for c in ("first", "block", "members"))):
+                who = np.frombuffer(who, dtype="<u2").astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(who), first), pa.int64()), pa.array(np.full(len(who), block), pa.int64()), pa.array(who, pa.int32())], names=["key", "block", "member"]
+                )
+
+    frequent = signed.filter(F.col("kind") == FREQUENT).select("first", "block", "members").mapInArrow(spread, "key long, block long, member int")
+    return met.unionByName(frequent)
 
 
 def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(set_id, shingles) of wanted's (set_id, doc_id), from the texts once more."""
-    schema = "set_id long, shingles array<long>"
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    wanted = wanted.hint("merge")  # it grows with the corpus; the same plan at every size
-    rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "_text")
+    """(set_id, shingles) of wanted's (set_id, doc_id), from the texts once more. The texts are
+    shuffled compressed."""
 
-    def run(batches):
-        import numpy as np
+    def packed(batches):
         import pyarrow as pa
+        import zstandard
 
-        shingler = Shingler(n)
+        codec = zstandard.ZstdCompressor(level=1)
         for batch in byte_batches(batches, "_text", 8 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([codec.compress(t or b"") for t in utf8(batch.column("_text"))], pa.binary())], names=["_id", "_packed"])
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        codec, shingler = zstandard.ZstdDecompressor(), Shingler(n)
+        for batch in byte_batches(batches, "_packed", 4 << 20):
             out: list = [[], []]
-            for sid, value in zip(batch.column("set_id").to_pylist(), utf8(batch.column("_text"))):
-                s = shingler(value)
-                with np.errstate(over="ignore"):
-                    own = len(s) and int(_mix(np.add.reduce(_mix(s ^ np.uint64(0x51ED270B)), keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
-                if own == sid:  # another text under the same document id is not the one asked for
+            for sid, value in zip(batch.column("set_id").to_pylist(), batch.column("_packed").to_pylist()):
+                s = shingler(codec.decompress(value))
+                if len(s) and set_id(s) == sid:  # another text under the same document id is not the one asked for
                     out[0].append(sid)
-                    out[1].append(s.view(np.int64))
+                    out[1].append(s.view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(packed, "_id long, _packed binary")
+    wanted = wanted.hint("merge")  # it grows with the corpus; the same plan at every size
+    rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "_packed")
+    return rows.mapInArrow(run, "set_id long, shingles array<long>")
 
 
 def local_links(ids, sets, percent: int, sides=None, skip=None) -> list[tuple[int, int]]:
@@ -316,13 +431,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 400_000
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, block_shingles: int = 400_000, bucket_bytes: int = 16 << 20
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest id of its component of
     documents whose n-gram sets have a Jaccard similarity of percent / 100 or more)."""
     spark = docs.sparkSession
-    signed = written(spark, _signatures(docs, doc_id, text, n, percent), "signatures")
-    keys = signed.filter("part_keys is not null").select("set_id", F.explode("part_keys").alias("key"))
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate is enough
+    buckets = max(64, min(1 << 20, int(str(size)) // bucket_bytes))
+    held = written(spark, _signatures(docs, doc_id, text, n, percent, buckets), "signatures")
+    signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles", "block", "member")
+    keys = _shared_keys(held).join(signed.filter("block is not null").select("block", "member", "set_id"), ["block", "member"]).select("key", "set_id")
+    keys = written(spark, keys, "keys")
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
     members = keys.join(shared, "key").select("pivot", "set_id").distinct()
     members = written(spark, members, "members")
