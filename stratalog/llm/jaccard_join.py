@@ -4,11 +4,10 @@ Jaccard distance is a metric. Almost every pair of documents is at distance 1, s
 freely chosen pivots would all be replicated into each other. The regions are therefore seeded so
 that a pivot only ever meets documents that may be near it:
 
-1. Rings. The size of a set is its distance from the empty pivot under symmetric difference. Sets
-   are dealt to rings of sizes, and the ones near a ring's upper edge also to the next rings: all
-   that a partner's size can reach (the window of that pivot).
-2. Subspaces. Linked sets of a ring differ in H shingles at most, so when the shingle space is cut
-   into H + 1 parts, two linked sets are equal in one part at least. Equal parts share a key.
+1. A set that is linked with another has at most (1 - t) of its shingles alone. Sets with more are
+   linked with nothing; they are found by counting a share of all shingles, chosen by hash.
+2. Of each remaining set the rarest shingles are its keys, one more than it can have alone, by one
+   ranking for all sets; linked sets have a key in common.
 3. Pivots and regions. Each key with several sets has the set with the smallest id as pivot; a
    pivot's region is all sets that share any of its keys. Linked sets share a key and so a region.
 4. Recursion. A region small enough for a task is joined there: each set in turn is the pivot of
@@ -20,8 +19,10 @@ that a pivot only ever meets documents that may be near it:
 
 Regions return a spanning forest of their links, so a group of N copies makes fewer than N rows per
 task. Equal sets are one class before any of this. Components come from alternating star
-contraction, on tables of classes, with no collection on the driver. Nothing is capped or sampled:
-`block_shingles` and `bucket_bytes` only decide how large a task gets.
+contraction, on tables of classes, with no collection on the driver. Shingles meet in packed sorted
+blocks; ones that many sets of a block share are kept out of their buckets and only marked there, so
+no bucket grows with a hot group. Nothing is capped or sampled: `block_shingles` and `bucket_bytes`
+only decide how large a task gets.
 
 Defined results: null or wordless texts have the empty set and are linked with nothing, each its
 own component; a text of fewer than n words has its whole sequence as its one shingle; rows with
@@ -86,72 +87,39 @@ def set_id(shingles) -> int:
         return int(_mix(np.add.reduce(_mix(shingles ^ np.uint64(0x51ED270B)), keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def ring_edges(limit: int = 1 << 40) -> list[int]:
-    """Lower edges of the rings of sizes, each about half above the one before."""
-    edges = [1]
-    while edges[-1] < limit:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
-    return edges
-
-
-def max_difference(size: int, percent: int) -> int:
-    """The most that two linked sets of size elements at most can differ in:
-    inter >= t / (1 + t) * (a + b), so a + b - 2 * inter <= (1 - t) / (1 + t) * (a + b)."""
-    return (100 - percent) * 2 * size // (100 + percent)
-
-
-def part_keys(shingles, edges, percent: int):
-    """The set's keys: one for each part of each ring that it belongs to or that its partners reach."""
-    import bisect
+SIGNED = "kind int, doc_id long, set_id long, n_shingles long, kept long, block long, member int, bucket int, first long, steps binary, members binary"
+DOCUMENT, KEYS, FREQUENT = 0, 1, 2
+KEY_BITS, BLOCK_SETS, BLOCK_KEYS = 48, 60_000, 2_000_000
+FREQUENT_SETS, ELSEWHERE, FILLER = 32, 65_001, 65_002
 
-    import numpy as np
 
-    n = len(shingles)
-    ring, keys = bisect.bisect_right(edges, n) - 1, []
-    most = n * 100 // percent
-    while edges[ring] <= most:
-        parts = max_difference(edges[ring + 1] - 1, percent) + 1
-        with np.errstate(over="ignore"):
-            at = ((shingles >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            sums = np.zeros(parts, dtype=np.uint64)
-            present, first = np.unique(at[order], return_index=True)
-            sums[present] = np.add.reduceat(_mix(shingles[order] ^ np.uint64(ring + 1)), first)
-            keys.append(_mix(sums ^ _mix(np.arange(parts, dtype=np.uint64) + np.uint64((ring + 1) << 40))))
-        ring += 1
-    return np.concatenate(keys)
-
-
-SIGNED = (
-    "kind int, doc_id long, set_id long, n_shingles long, block long, member int, bucket int, first long, steps binary, members binary"
-)
-DOCUMENT, KEYS, FREQUENT = 0, 1, 2
-KEY_BITS, BLOCK_SETS, BLOCK_KEYS, ELSEWHERE, FILLER = 48, 60_000, 2_000_000, 65_001, 65_002
-FREQUENT_SETS = 32
+def most_unshared(n, percent: int):
+    """How many of its n shingles a set can have alone if it is linked with another."""
+    return (100 - percent) * n // 100
 
 
 def _key_rows(block: int, keys: list, buckets: int):
-    """(bucket, first, steps, members) rows of a block's keys, sorted, as steps of 32 bits with the
-    sets' numbers in the block; and (key, members) rows of those that FREQUENT_SETS sets or more
-    share, which stand in the others' rows as one mark."""
+    """The keys of a block's sets as rows (KEYS): (bucket, first, steps, members), sorted, as steps of
+    32 bits with the sets' numbers in the block. Keys of FREQUENT_SETS sets or more become rows of
+    their own (FREQUENT) and leave one mark (ELSEWHERE) for every FREQUENT_SETS sets."""
     import numpy as np
 
     member = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    flat = np.concatenate(keys) >> np.uint64(64 - KEY_BITS)
+    flat = np.concatenate(keys).astype(np.int64)
     order = np.argsort(flat, kind="stable")
-    flat, member = flat[order].astype(np.int64), member[order]
-    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    flat, member = flat[order], member[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
     size = np.diff(np.concatenate((first, [len(flat)])))
-    frequent, keep = [], np.ones(len(flat), dtype=bool)
+    rows, keep = [], np.ones(len(flat), dtype=bool)
     for at, n in zip(first[size >= FREQUENT_SETS].tolist(), size[size >= FREQUENT_SETS].tolist()):
-        frequent.append((int(flat[at]), member[at : at + n].astype("<u2").tobytes()))
-        keep[at + 1 : at + n] = False
-        member[at] = ELSEWHERE
+        rows.append((FREQUENT, None, None, None, None, block, None, None, int(flat[at]), None, member[at : at + n].astype("<u2").tobytes()))
+        marks = n // FREQUENT_SETS
+        keep[at + marks : at + n] = False
+        member[at : at + marks] = ELSEWHERE
     flat, member = flat[keep], member[keep]
-    width = -(-(1 << KEY_BITS) // buckets)
-    bucket, rows = flat // width, []
-    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+    bucket = flat // -(-(1 << KEY_BITS) // buckets)
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(flat) else []
+    for a, b in zip(edges[:-1], edges[1:]):
         own, who = flat[a:b], member[a:b]
         steps = np.diff(own, prepend=own[0])
         if (steps >> 32).any():  # steps of more than 32 bits are made of several
@@ -160,99 +128,217 @@ def _key_rows(block: int, keys: list, buckets: int):
             last = np.concatenate((places[1:] != places[:-1], [True]))
             who = np.where(last, who[places], FILLER)
             steps = np.where(last, steps[places] - (fill[places] << 32) + fill[places], (1 << 32) - 1)
-        rows.append((int(bucket[a]), int(own[0]), steps.astype("<u4").tobytes(), who.astype("<u2").tobytes()))
-    return rows, frequent
+        rows.append((KEYS, None, None, None, None, block, None, int(bucket[a]), int(own[0]), steps.astype("<u4").tobytes(), who.astype("<u2").tobytes()))
+    return rows
+
+
+def _signed_batch(rows: list):
+    import pyarrow as pa
+
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    schema = pa.schema([(c.split()[0], k) for c, k in zip(SIGNED.split(", "), kinds)])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
+
+
+class _Block:
+    """Numbers sets within blocks and yields the rows of full blocks."""
+
+    def __init__(self, buckets: int):
+        from pyspark import TaskContext
+
+        self.buckets, self.block, self.keys, self.held = buckets, TaskContext.get().partitionId() << 24, [], 0
+
+    def add(self, keys) -> tuple[int, int]:
+        self.keys.append(keys)
+        self.held += len(keys)
+        return self.block, len(self.keys) - 1
+
+    def rows(self, last: bool = False):
+        if self.keys and (last or len(self.keys) >= BLOCK_SETS or self.held >= BLOCK_KEYS):
+            if rows := _key_rows(self.block, self.keys, self.buckets):
+                yield _signed_batch(rows)
+            self.block, self.keys, self.held = self.block + 1, [], 0
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, buckets: int) -> DataFrame:
-    """DOCUMENT rows: each document's set and, where its keys follow, its block and number there.
-    KEYS and FREQUENT rows: the keys of a block's sets."""
+    """DOCUMENT rows: each document's set and, for the first of equal sets in a task, its block and
+    number there. KEYS and FREQUENT rows: a share of the sets' shingles, chosen by hash, twice as
+    large as the share that a linked set can have alone."""
+    share = min(1 << 16, (100 - percent) * 2 * (1 << 16) // 100 + 1)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
-
-        schema = pa.schema(
-            [("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "set_id", "n_shingles", "block")), ("member", pa.int32()), ("bucket", pa.int32()),
-             ("first", pa.int64()), ("steps", pa.binary()), ("members", pa.binary())]
-        )
-        shingler, edges, seen = Shingler(n), ring_edges(), set()
-        block, keys, held = (TaskContext.get().partitionId() << 24), [], 0
-
-        def flush():
-            rows, frequent = _key_rows(block, keys, buckets)
-            out = [(KEYS, None, None, None, block, None, *r) for r in rows] + [(FREQUENT, None, None, None, block, None, None, k, None, m) for k, m in frequent]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
+        shingler, seen, block = Shingler(n), set(), _Block(buckets)
         for batch in byte_batches(batches, text, 8 << 20):
             out = []
             for did, value in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), utf8(batch.column(text))):
                 s = shingler(value)
-                if not len(s):
-                    out.append((DOCUMENT, did, None, 0, None, None, None, None, None, None))
-                    continue
-                sid = set_id(s)
+                sid = set_id(s) if len(s) else None
                 if len(seen) > 500_000:
                     seen.clear()
-                if sid in seen:
-                    out.append((DOCUMENT, did, sid, len(s), None, None, None, None, None, None))
+                if sid is None or sid in seen:
+                    out.append((DOCUMENT, did, sid, len(s), *[None] * 7))
                     continue
                 seen.add(sid)
-                out.append((DOCUMENT, did, sid, len(s), block, len(keys), None, None, None, None))
-                keys.append(part_keys(s, edges, percent))
-                held += len(keys[-1])
-                if len(keys) >= BLOCK_SETS or held >= BLOCK_KEYS:
-                    yield flush()
-                    block, keys, held = block + 1, [], 0
+                keys = s[(s & np.uint64(0xFFFF)) < np.uint64(share)] >> np.uint64(64 - KEY_BITS)
+                out.append((DOCUMENT, did, sid, len(s), len(keys), *block.add(keys), *[None] * 4))
+                yield from block.rows()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-        if keys:
-            yield flush()
-        del np
+                yield _signed_batch(out)
+        yield from block.rows(last=True)
 
     return docs.select(doc_id, text).mapInArrow(run, SIGNED)
 
 
-def _shared_keys(signed: DataFrame) -> DataFrame:
-    """(key, block, member) of the keys that several sets have. Rows of a bucket meet in one task;
-    what a bucket holds is bounded by buckets and by the marks that stand for frequent keys."""
+def _entries(table):
+    """(keys, members, blocks) of a bucket's KEYS rows, sorted by key, and for every entry how many
+    sets have its key (marks count FREQUENT_SETS)."""
+    import numpy as np
 
-    def meet(table):
-        import numpy as np
+    keys, members, blocks = [], [], []
+    for first, steps, who, block in zip(*(table.column(c).to_pylist() for c in ("first", "steps", "members", "block"))):
+        keys.append(first + np.cumsum(np.frombuffer(steps, dtype="<u4").astype(np.int64)))
+        members.append(np.frombuffer(who, dtype="<u2").astype(np.int32))
+        blocks.append(np.full(len(keys[-1]), block, dtype=np.int64))
+    keys, members, blocks = np.concatenate(keys), np.concatenate(members), np.concatenate(blocks)
+    real = members != FILLER
+    keys, members, blocks = keys[real], members[real], blocks[real]
+    order = np.argsort(keys, kind="stable")
+    keys, members, blocks = keys[order], members[order], blocks[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    sets = np.add.reduceat(np.where(members == ELSEWHERE, FREQUENT_SETS, 1), first)
+    return keys, members, blocks, np.repeat(sets, np.diff(np.concatenate((first, [len(keys)]))))
+
+
+def _by_block(blocks, *columns):
+    """(block, bytes of each column's part) for every block, from parallel arrays."""
+    import numpy as np
+
+    order = np.argsort(blocks, kind="stable")
+    blocks, columns = blocks[order], [c[order] for c in columns]
+    edges = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1], [True]))) if len(blocks) else []
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield (int(blocks[a]), *(c[a:b].tobytes() for c in columns))
+
+
+def _possible(held: DataFrame, percent: int) -> DataFrame:
+    """(set_id, doc_id, n_shingles) of the sets that don't have too many shingles alone."""
+
+    def shared(table):
         import pyarrow as pa
 
-        keys, members, blocks = [], [], []
-        for first, steps, who, block in zip(*(table.column(c).to_pylist() for c in ("first", "steps", "members", "block"))):
-            steps = np.frombuffer(steps, dtype="<u4").astype(np.int64)
-            keys.append(first + np.cumsum(steps))
-            members.append(np.frombuffer(who, dtype="<u2"))
-            blocks.append(np.full(len(steps), block, dtype=np.int64))
-        keys, members, blocks = np.concatenate(keys), np.concatenate(members).astype(np.int32), np.concatenate(blocks)
-        real = members != FILLER
-        keys, members, blocks = keys[real], members[real], blocks[real]
-        order = np.argsort(keys, kind="stable")
-        keys, members, blocks = keys[order], members[order], blocks[order]
-        same = keys[1:] == keys[:-1]
-        several = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        several &= members != ELSEWHERE
-        return pa.table({"key": pa.array(keys[several], pa.int64()), "block": pa.array(blocks[several], pa.int64()), "member": pa.array(members[several], pa.int32())})
-
-    met = signed.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(meet, "key long, block long, member int")
-
-    def spread(batches):
+        _, members, blocks, sets = _entries(table)
+        own = (sets > 1) & (members != ELSEWHERE)
+        rows = list(_by_block(blocks[own], members[own].astype("<u2")))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "members": pa.array([r[1] for r in rows], pa.binary())})
+
+    met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(shared, "block long, members binary")
+    frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members")
+    none = lambda t: F.lit(None).cast(t)
+    documents = held.filter((F.col("kind") == DOCUMENT) & F.col("block").isNotNull()).select("block", none("binary").alias("members"), "member", "set_id", "doc_id", "n_shingles", "kept")
+    rows = met.unionByName(frequent).select("block", "members", none("int").alias("member"), *(none("long").alias(c) for c in ("set_id", "doc_id", "n_shingles", "kept")))
+
+    def count(table):
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sets = table.filter(pc.is_valid(table.column("member")))
+        if not sets.num_rows:
+            return sets.select(["set_id", "doc_id", "n_shingles"])
+        member = sets.column("member").to_numpy()
+        n = np.zeros(int(member.max()) + 1, dtype=np.int64)
+        for who in table.column("members").to_pylist():
+            if who is not None:
+                n += np.bincount(np.frombuffer(who, dtype="<u2"), minlength=len(n))
+        alone = sets.column("kept").to_numpy() - n[member]
+        keep = alone <= most_unshared(sets.column("n_shingles").to_numpy(), percent)
+        return sets.filter(pa.array(keep)).select(["set_id", "doc_id", "n_shingles"])
+
+    return documents.unionByName(rows).groupBy("block").applyInArrow(count, "set_id long, doc_id long, n_shingles long")
 
+
+def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(key, set_id): each set's rarest shingles, one more than it can have alone. Shingles are ranked
+    by the logarithm of the number of sets that have them, then by hash; two linked sets have one of
+    theirs in common. Shingles that no other set has are left out."""
+
+    def pack(batches):
+        import numpy as np
+
+        block = _Block(buckets)
         for batch in batches:
-            for first, block, who in zip(*(batch.column(c).to_pylist() for c in ("first", "block", "members"))):
-                who = np.frombuffer(who, dtype="<u2").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(who), first), pa.int64()), pa.array(np.full(len(who), block), pa.int64()), pa.array(who, pa.int32())], names=["key", "block", "member"]
-                )
+            shingles = batch.column("shingles")
+            offsets, flat = np.asarray(shingles.offsets), np.asarray(shingles.values).view(np.uint64)
+            out = []
+            for k, sid in enumerate(batch.column("set_id").to_pylist()):
+                s = flat[offsets[k] : offsets[k + 1]]
+                keys = np.unique(s >> np.uint64(64 - KEY_BITS))
+                out.append((DOCUMENT, None, sid, len(s), len(keys), *block.add(keys), *[None] * 4))
+                yield from block.rows()
+            if out:
+                yield _signed_batch(out)
+        yield from block.rows(last=True)
 
-    frequent = signed.filter(F.col("kind") == FREQUENT).select("first", "block", "members").mapInArrow(spread, "key long, block long, member int")
-    return met.unionByName(frequent)
+    held = written(spark, sets.mapInArrow(pack, SIGNED), "rare-keys")
+    ranked = "block long, members binary, ranks binary, keys binary, first long, rank int"
+
+    def rank(table):
+        import numpy as np
+        import pyarrow as pa
+
+        keys, members, blocks, sets_ = _entries(table)
+        ranks = np.floor(np.log2(sets_)).astype(np.uint8)
+        own = (sets_ > 1) & (members != ELSEWHERE)
+        rows = [(*r, None, None) for r in _by_block(blocks[own], members[own].astype("<u2"), ranks[own], keys[own].astype("<i8"))]
+        marked = members == ELSEWHERE
+        found, at = np.unique(keys[marked], return_index=True)
+        rows += [(None, None, None, None, int(k), int(r)) for k, r in zip(found.tolist(), ranks[marked][at].tolist())]
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+        columns = list(zip(*rows)) or [[]] * 6
+        return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(ranked.split(", "), columns, kinds)})
+
+    met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(rank, ranked)
+    met = written(spark, met, "ranks")
+    frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members", "first")
+    frequent = frequent.join(met.filter("block is null").select("first", "rank"), "first").select("block", "members", F.lit(None).cast("binary").alias("ranks"), F.lit(None).cast("binary").alias("keys"), "first", "rank")
+    none = lambda t: F.lit(None).cast(t)
+    numbers = [none(t).alias(c) for c, t in (("member", "int"), ("set_id", "long"), ("n_shingles", "long"), ("kept", "long"))]
+    rows = met.filter("block is not null").unionByName(frequent).select("*", *numbers)
+    documents = held.filter(F.col("kind") == DOCUMENT).select(
+        "block", *(none(t).alias(c) for c, t in (("members", "binary"), ("ranks", "binary"), ("keys", "binary"), ("first", "long"), ("rank", "int"))), "member", "set_id", "n_shingles", "kept"
+    )
+
+    def choose(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        sets_ = table.filter(pc.is_valid(table.column("member")))
+        members, ranks, keys = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for who, r, k, first, one in zip(*(table.column(c).to_pylist() for c in ("members", "ranks", "keys", "first", "rank"))):
+            if who is None:
+                continue
+            members.append(np.frombuffer(who, dtype="<u2").astype(np.int64))
+            size = len(members[-1])
+            ranks.append(np.full(size, one, np.int64) if r is None else np.frombuffer(r, dtype=np.uint8).astype(np.int64))
+            keys.append(np.full(size, first, np.int64) if k is None else np.frombuffer(k, dtype="<i8"))
+        members, ranks, keys = np.concatenate(members), np.concatenate(ranks), np.concatenate(keys)
+        number = sets_.column("member").to_numpy()
+        width = int(number.max()) + 1 if len(number) else 0
+        n, kept, ids = (np.zeros(width, np.int64) for _ in range(3))
+        n[number], kept[number], ids[number] = (sets_.column(c).to_numpy() for c in ("n_shingles", "kept", "set_id"))
+        order = np.lexsort((keys, ranks, members))
+        members, keys = members[order], keys[order]
+        common = np.bincount(members, minlength=width)
+        place = np.arange(len(members)) - np.repeat(np.cumsum(common) - common, common)
+        wanted = most_unshared(n, percent) + 1 - (kept - common)
+        own = place < wanted[members]
+        return pa.table({"key": pa.array(keys[own], pa.int64()), "set_id": pa.array(ids[members[own]], pa.int64())})
+
+    return documents.unionByName(rows).groupBy("block").applyInArrow(choose, "key long, set_id long")
 
 
 def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -439,17 +525,15 @@ def jaccard_components(
     size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate is enough
     buckets = max(64, min(1 << 20, int(str(size)) // bucket_bytes))
     held = written(spark, _signatures(docs, doc_id, text, n, percent, buckets), "signatures")
-    signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles", "block", "member")
-    keys = _shared_keys(held).join(signed.filter("block is not null").select("block", "member", "set_id"), ["block", "member"]).select("key", "set_id")
-    keys = written(spark, keys, "keys")
+    signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
+    possible = written(spark, _possible(held, percent), "possible")
+    possible = possible.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    sets = written(spark, _shingle_sets(docs, doc_id, text, n, possible).dropDuplicates(["set_id"]), "sets")
+    keys = written(spark, _rare_keys(spark, sets, percent, buckets), "keys")
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
-    members = keys.join(shared, "key").select("pivot", "set_id").distinct()
-    members = written(spark, members, "members")
-    wanted = members.select("set_id").distinct()
-    sizes = signed.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"))
-    sizes = written(spark, sizes, "sizes")
-    sets = written(spark, _shingle_sets(docs, doc_id, text, n, sizes.select("set_id", "doc_id")).dropDuplicates(["set_id"]), "sets")
-    links = _region_links(members, sets, sizes.select("set_id", "n_shingles"), percent, block_shingles, spark)
+    members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members")
+    sizes = sets.select("set_id", F.size("shingles").cast("long").alias("n_shingles"))
+    links = _region_links(members, sets, sizes, percent, block_shingles, spark)
     # Rows that share a document id are one document: their classes are connected.
     repeated = signed.filter("set_id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
     several = repeated.filter("a != b").select("doc_id", "a")
