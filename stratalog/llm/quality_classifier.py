@@ -5,8 +5,8 @@ pair with the word before it. A feature has a learned vector, a document's vecto
 over its features, and a softmax over the labels reads it. Vectors and softmax are trained by
 stochastic gradient descent in numpy on the driver, on at most per_class labelled rows of each
 label (picked by a hash of the id, texts of at most fit_bytes bytes), weighted back to the labels'
-shares. For scoring, the two-label softmax of an average is linear in the features, so a word's
-share is computed once per task and looked up after that; all texts are read whole, no shuffle.
+shares. For scoring, the two-label softmax of an average is linear in the features, so every feature
+has one number, its share of the logit; all texts are hashed whole, vectorised, with no shuffle.
 
 Defined results: null, empty and wordless texts have no features and score by the bias alone;
 null labels and unknown ids are ignored, of repeated ids the smaller label counts; without labels
@@ -25,72 +25,68 @@ from stratalog.llm.common import added, bounded_sample, byte_batches, free_name,
 BUCKETS = 1 << 15
 
 
-def word_features(word: bytes) -> list[int]:
-    """Buckets of the word and its n-grams; of very long words the n-grams are those of every place."""
-    import zlib
+SAME_PAIR = 0
+PIECE_WORDS = 100_000
 
-    marked = b"<" + word + b">"
-    grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
-    return [zlib.crc32(g) % BUCKETS for g in sorted(grams)]
 
+def _hashed(h):
+    import numpy as np
 
-def pair_feature(before: bytes, word: bytes) -> int:
-    """Bucket of a word pair; all pairs of a word with itself share one."""
-    import zlib
-
-    return zlib.crc32(b"=" if before == word else before + b" " + word) % BUCKETS
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
 
 
 def features(text: bytes | None):
-    """(buckets, counts) of a text."""
-    import collections
+    """Buckets of a text's features, one entry an occurrence: the n-grams of every word between its
+    ends (which count as a character), the words, and the pairs of neighbours; pairs of a word with
+    itself share a bucket. Long texts are hashed in pieces."""
+    import numpy as np
 
+    words, out, before = (text or b"").split(), [], None
+    for k in range(0, len(words), PIECE_WORDS):
+        a = np.frombuffer(b" " + b" ".join(words[k : k + PIECE_WORDS]) + b" ", dtype=np.uint8)
+        end = a == 32
+        code = a.astype(np.uint32)
+        with np.errstate(over="ignore"):
+            h, inner = code[:-1] * np.uint32(0x01000193) + code[1:], np.ones(len(a) - 1, dtype=bool)
+            for n in (3, 4, 5):
+                if len(a) < n:
+                    break
+                h = h[:-1] * np.uint32(0x01000193) + code[n - 1 :]
+                inner = inner[:-1] & ~end[n - 2 : -1]
+                out.append(_hashed(h[inner] + np.uint32(n)))
+            starts = np.flatnonzero(end[:-1] & ~end[1:]) + 1
+            sizes = np.flatnonzero(~end[:-1] & end[1:]) + 1 - starts
+            place = np.arange(len(a)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(a)]))))
+            power = np.cumprod(np.full(int(place.max()) + 1, 0x85EBCA6B, dtype=np.uint32), dtype=np.uint32)
+            word = np.add.reduceat(np.where(end, np.uint32(0), code * power[place]), starts, dtype=np.uint32) + sizes.astype(np.uint32)
+            out.append(_hashed(word * np.uint32(0xC2B2AE35)))
+            row = word if before is None else np.concatenate((before, word))
+            pair = _hashed(row[:-1] * np.uint32(0x27D4EB2F) + row[1:] * np.uint32(0x165667B1))
+            out.append(np.where(row[:-1] == row[1:], np.uint32(SAME_PAIR), pair))
+        before = word[-1:]
+    return np.concatenate(out) if out else np.empty(0, dtype=np.uint32)
+
+
+def counted(text: bytes | None):
+    """(buckets, counts) of a text."""
     import numpy as np
 
-    words = (text or b"").split()
-    found: collections.Counter = collections.Counter()
-    for w, n in collections.Counter(words).items():
-        for f in word_features(w):
-            found[f] += n
-    for (a, b), n in collections.Counter(zip(words, words[1:])).items():
-        found[pair_feature(a, b)] += n
-    keys = sorted(found)
-    return np.array(keys, dtype=np.int32), np.array([found[k] for k in keys], dtype=np.float32)
+    n = np.bincount(features(text), minlength=BUCKETS)
+    keys = np.flatnonzero(n)
+    return keys.astype(np.int32), n[keys].astype(np.float32)
 
 
 class Model:
     """What scoring needs: each feature's share of the difference of the two logits, and the bias."""
 
     def __init__(self, shares, bias: float):
-        self.shares, self.bias, self.words = shares, bias, {}
-
-    def _word(self, w: bytes) -> tuple[float, int]:
-        f = word_features(w)
-        return float(self.shares[f].sum()), len(f)
+        self.shares, self.bias = shares, bias
 
     def score(self, text: bytes | None) -> float:
         import math
-        import zlib
-
-        words, known = (text or b"").split(), self.words
-        if len(known) > 400_000:
-            known.clear()
-        total, count = 0.0, 0
-        for w in words:
-            if (e := known.get(w)) is None:
-                e = self._word(w)
-                if len(w) <= 64:
-                    known[w] = e
-            total += e[0]
-            count += e[1]
-        shares, crc = self.shares, zlib.crc32
-        before = None
-        for w in words:
-            if before is not None:
-                total += shares[crc(b"=" if before == w else before + b" " + w) % BUCKETS]
-            before = w
-        count += max(0, len(words) - 1)
-        z = self.bias + (float(total) / count if count else 0.0)
+
+        found = features(text)
+        z = self.bias + (float(self.shares[found].mean()) if len(found) else 0.0)
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
@@ -152,7 +148,7 @@ def fit(
         import pyarrow as pa
 
         for batch in byte_batches(batches, "_text", 4 << 20):
-            found = [features(t) for t in utf8(batch.column("_text"))]
+            found = [counted(t) for t in utf8(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_y"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.list_(pa.float32()))],
                 names=["y", "f", "n"],
