@@ -210,8 +210,7 @@ def control_mask(line: Column) -> Column:
 def template_ids(rows: DataFrame, keys: list[str], template: str = "template", order: str = "line_no") -> DataFrame:
     """keys, template, template_id (0-based by first appearance), first_line, count."""
     found = rows.groupBy(*keys, template).agg(F.min(order).alias("first_line"), F.count("*").alias("count"))
-    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    return found.withColumn("template_id", F.row_number().over(w.orderBy("first_line", template)) - 1)
+    return found.withColumn("template_id", F.row_number().over(W.partitionBy(*keys).orderBy("first_line", template)) - 1)
 
 
 def variables_by_type(rows: DataFrame, keys: list[str], variables: str = "variables") -> DataFrame:

@@ -192,7 +192,7 @@ def column_type_choice(spark, sf_dir):
 @query(
     EVENTS
     + """, v AS (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY event_id) AS r, CASE WHEN regexp_matches(event_type, '^[a-zA-Z][a-zA-Z0-9]*[-_][0-9]+$') THEN 'prefix_id' ELSE 'text' END AS kind FROM e)
-SELECT chunk_id, max(kind) AS kind, 1.0 AS share FROM v WHERE r <= 1000 GROUP BY chunk_id"""
+SELECT chunk_id, max(kind) AS kind, 1.0::DOUBLE AS share FROM v WHERE r <= 1000 GROUP BY chunk_id"""
 )
 def type_vote(spark, sf_dir):
     rows = chunked_events(spark, sf_dir).select("chunk_id", "event_id", F.col("event_type").alias("value"))
@@ -201,7 +201,7 @@ def type_vote(spark, sf_dir):
 
 @query(
     EVENTS
-    + """SELECT chunk_id, avg(CASE WHEN value >= b THEN 1.0 WHEN b IS NOT NULL THEN 0.0 END) AS sorted_share, count(*) AS n
+    + """SELECT chunk_id, avg(CASE WHEN value >= b THEN 1 WHEN b IS NOT NULL THEN 0 END) AS sorted_share, count(*) AS n
 FROM (SELECT chunk_id, value, lag(value) OVER (PARTITION BY chunk_id ORDER BY event_id) AS b FROM e) GROUP BY chunk_id"""
 )
 def sortedness(spark, sf_dir):
@@ -229,7 +229,7 @@ def sparse_decode(spark, sf_dir):
     return c.sparse_decode(c.sparse_encode(rows, ["chunk_id"], "doc_id"), rows, ["chunk_id"], "doc_id").select("doc_id", "value")
 
 
-@query(LABELLED + "SELECT chunk_id, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS absent_share, count(*) AS n, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) > 0.5 AND count(*) > 10 AS sparse FROM d GROUP BY chunk_id")
+@query(LABELLED + "SELECT chunk_id, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS absent_share, count(*) AS n, avg(CASE WHEN value IS NULL THEN 1 ELSE 0 END) > 0.5 AND count(*) > 10 AS sparse FROM d GROUP BY chunk_id")
 def sparsity(spark, sf_dir):
     return c.sparsity(labelled_documents(spark, sf_dir), ["chunk_id"])
 

@@ -60,7 +60,7 @@ def chunk_strategy(spark, sf_dir):
 
 
 @query(
-    """SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS stream_id, CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE 1.0 END AS json_share, CASE WHEN event_id % 2 = 0 THEN 'TEXT' ELSE 'JSON' END AS format FROM events WHERE event_id < 2"""
+    """SELECT CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS stream_id, (CASE WHEN event_id % 2 = 0 THEN 0 ELSE 1 END)::DOUBLE AS json_share, CASE WHEN event_id % 2 = 0 THEN 'TEXT' ELSE 'JSON' END AS format FROM events WHERE event_id < 2"""
 )
 def format_vote(spark, sf_dir):
     even = F.col("event_id") % 2 == 0
@@ -69,7 +69,7 @@ def format_vote(spark, sf_dir):
 
 
 @query(
-    """SELECT * FROM (VALUES ('access', 1.0, 0.0, 0.0, 'access'), ('blocks', 0.0, 1.0, 0.0, 'blocks'), ('json', 0.0, 0.0, 0.0, 'json_flat'), ('syslog', 0.0, 0.0, 1.0, 'syslog')) t(stream_id, access_share, block_share, syslog_share, kind)"""
+    """SELECT stream_id, access_share::DOUBLE AS access_share, block_share::DOUBLE AS block_share, syslog_share::DOUBLE AS syslog_share, kind FROM (VALUES ('access', 1.0, 0.0, 0.0, 'access'), ('blocks', 0.0, 1.0, 0.0, 'blocks'), ('json', 0.0, 0.0, 0.0, 'json_flat'), ('syslog', 0.0, 0.0, 1.0, 'syslog')) t(stream_id, access_share, block_share, syslog_share, kind)"""
 )
 def stream_kinds(spark, sf_dir):
     rows = known_lines(spark, sf_dir)
@@ -112,7 +112,7 @@ def parse_block_log(spark, sf_dir):
     return rows.select("line_no", "p.pid", "p.level", "p.component", F.get("p.blocks", F.lit(0)).alias("block"), F.get("p.addresses", F.lit(0)).alias("address"), "p.template")
 
 
-@query("SELECT 'access' AS stream_id, 1.0 AS share, true AS structured")
+@query("SELECT 'access' AS stream_id, 1.0::DOUBLE AS share, true AS structured")
 def structured_gate(spark, sf_dir):
     rows = known_lines(spark, sf_dir)["access"].withColumn("stream_id", F.lit("access"))
     return parse.structured_share(rows, parse.parse_access(F.col("line")))

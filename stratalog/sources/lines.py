@@ -13,10 +13,11 @@ FIRST_CHUNK, CHUNK = 1000, 10_000
 
 def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = 64 << 20) -> DataFrame:
     """Every byte of every file under path as lines (Latin-1 view, one character a byte), with
-    stream_id (the file), line_no, and final_newline of the stream. Files are read whole up to
-    whole_file_bytes; see read_large_lines for larger ones."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content").filter(F.col("length") <= whole_file_bytes)
-    text = F.decode("content", "ISO-8859-1")
+    stream_id (the file), line_no, and final_newline of the stream. Files are read whole; one of more
+    than whole_file_bytes is an error, read_large_lines reads those."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    too_large = F.raise_error(F.concat(F.lit("too large to be read whole, use read_large_lines: "), F.col("path"))).cast("binary")
+    text = F.decode(F.when(F.col("length") > whole_file_bytes, too_large).otherwise(F.col("content")), "ISO-8859-1")
     ended = F.endswith("_text", F.lit("\n"))
     body = F.when(F.col("final_newline"), F.expr("left(_text, length(_text) - 1)")).otherwise(F.col("_text"))
     files = files.select(F.col("path").alias("stream_id"), text.alias("_text")).withColumn("final_newline", ended)
