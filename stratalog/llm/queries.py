@@ -122,7 +122,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("hit_items"), ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        "longest_match",
     )
 
 
@@ -157,5 +156,29 @@ FROM told
 """
 
 
+WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+LETTERS = WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LEAK_SQL = f"""
+WITH d AS (SELECT doc_id, {LETTERS} AS w FROM documents), i AS (SELECT item_id::VARCHAR AS item_id, {LETTERS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g
+  FROM i, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) t(k) WHERE len(w) > 0),
+dw AS (SELECT doc_id, k, size, array_to_string(w[k:k + size - 1], ' ') AS g FROM d, (SELECT DISTINCT size FROM iw), unnest(generate_series(1, len(w) - size + 1)) t(k)),
+hits AS (SELECT doc_id, k, size, item_id FROM dw JOIN iw USING (g, size)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + size - 1)) AS p FROM hits) GROUP BY 1),
+s AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS items FROM hits GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+NEAR_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.format(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[k:k + least(3, len(w)) - 1], ' ') AS g FROM d, unnest(generate_series(1, len(w) - least(3, len(w)) + 1)) t(k) WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM reach LEFT JOIN n ON n.doc_id = a JOIN (SELECT doc_id FROM d) d ON d.doc_id = a GROUP BY 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op9_decontamination": LEAK_SQL, "op10_ngram_jaccard_join": NEAR_SQL}
