@@ -109,7 +109,7 @@ def test_toxicity_learns_sentences(spark):
 def test_toxicity_without_labels(spark, documents, no_documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(documents, none)
-    assert {r["toxicity"] for r in toxicity.score(documents, model).collect()} == {0.0}
+    assert all(r["toxicity"] < 1e-9 for r in toxicity.score(documents, model).collect())
     assert toxicity.score(no_documents, model).count() == 0
 
 
