@@ -160,9 +160,14 @@ class _Block:
             self.block, self.keys, self.held = self.block + 1, [], 0
 
 
+def _digest(text: str):
+    """Tells texts under one document id, or without any, apart when a set's text is looked up."""
+    return F.xxhash64(text)
+
+
 def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, buckets: int) -> DataFrame:
     """DOCUMENT rows: each document's set and, for the first of equal sets in a task, its block and
-    number there. KEYS and FREQUENT rows: a share of the sets' shingles, chosen by hash, twice as
+    number there and (in first) its text's digest. KEYS and FREQUENT rows: a share of the sets' shingles, chosen by hash, twice as
     large as the share that a linked set can have alone."""
     share = min(1 << 16, (100 - percent) * 2 * (1 << 16) // 100 + 1)
 
@@ -173,7 +178,7 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, b
         shingler, seen, block = Shingler(n), set(), _Block(buckets)
         for batch in byte_batches(batches, text, 8 << 20):
             out = []
-            for did, value in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), utf8(batch.column(text))):
+            for did, digest, value in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), batch.column("_digest").to_pylist(), utf8(batch.column(text))):
                 s = shingler(value)
                 sid = set_id(s) if len(s) else None
                 if len(seen) > 500_000:
@@ -183,13 +188,13 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, b
                     continue
                 seen.add(sid)
                 keys = s[(s & np.uint64(0xFFFF)) < np.uint64(share)] >> np.uint64(64 - KEY_BITS)
-                out.append((DOCUMENT, did, sid, len(s), len(keys), *block.add(keys), *[None] * 4))
+                out.append((DOCUMENT, did, sid, len(s), len(keys), *block.add(keys), None, digest, None, None))
                 yield from block.rows()
             if out:
                 yield _signed_batch(out)
         yield from block.rows(last=True)
 
-    return docs.select(doc_id, text).mapInArrow(run, SIGNED)
+    return docs.select(doc_id, text, _digest(text).alias("_digest")).mapInArrow(run, SIGNED)
 
 
 def _entries(table):
@@ -224,7 +229,7 @@ def _by_block(blocks, *columns):
 
 
 def _possible(held: DataFrame, percent: int) -> DataFrame:
-    """(set_id, doc_id, n_shingles) of the sets that don't have too many shingles alone."""
+    """(set_id, doc_id, digest) of the sets that don't have too many shingles alone."""
 
     def shared(table):
         import pyarrow as pa
@@ -237,8 +242,8 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
     met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(shared, "block long, members binary")
     frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members")
     none = lambda t: F.lit(None).cast(t)
-    documents = held.filter((F.col("kind") == DOCUMENT) & F.col("block").isNotNull()).select("block", none("binary").alias("members"), "member", "set_id", "doc_id", "n_shingles", "kept")
-    rows = met.unionByName(frequent).select("block", "members", none("int").alias("member"), *(none("long").alias(c) for c in ("set_id", "doc_id", "n_shingles", "kept")))
+    documents = held.filter((F.col("kind") == DOCUMENT) & F.col("block").isNotNull()).select("block", none("binary").alias("members"), "member", "set_id", "doc_id", F.col("first").alias("digest"), "n_shingles", "kept")
+    rows = met.unionByName(frequent).select("block", "members", none("int").alias("member"), *(none("long").alias(c) for c in ("set_id", "doc_id", "digest", "n_shingles", "kept")))
 
     def count(table):
         import numpy as np
@@ -247,7 +252,7 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
 
         sets = table.filter(pc.is_valid(table.column("member")))
         if not sets.num_rows:
-            return sets.select(["set_id", "doc_id", "n_shingles"])
+            return sets.select(["set_id", "doc_id", "digest"])
         member = sets.column("member").to_numpy()
         n = np.zeros(int(member.max()) + 1, dtype=np.int64)
         for who in table.column("members").to_pylist():
@@ -255,9 +260,9 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
                 n += np.bincount(np.frombuffer(who, dtype="<u2"), minlength=len(n))
         alone = sets.column("kept").to_numpy() - n[member]
         keep = alone <= most_unshared(sets.column("n_shingles").to_numpy(), percent)
-        return sets.filter(pa.array(keep)).select(["set_id", "doc_id", "n_shingles"])
+        return sets.filter(pa.array(keep)).select(["set_id", "doc_id", "digest"])
 
-    return documents.unionByName(rows).groupBy("block").applyInArrow(count, "set_id long, doc_id long, n_shingles long")
+    return documents.unionByName(rows).groupBy("block").applyInArrow(count, "set_id long, doc_id long, digest long")
 
 
 def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -342,7 +347,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(set_id, shingles) of wanted's (set_id, doc_id), from the texts once more. The texts are
+    """(set_id, shingles) of wanted's (set_id, doc_id, digest), from the texts once more. The texts are
     shuffled compressed."""
 
     def packed(batches):
@@ -351,7 +356,8 @@ def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataF
 
         codec = zstandard.ZstdCompressor(level=1)
         for batch in byte_batches(batches, "_text", 8 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([codec.compress(t or b"") for t in utf8(batch.column("_text"))], pa.binary())], names=["_id", "_packed"])
+            packed_texts = pa.array([codec.compress(t or b"") for t in utf8(batch.column("_text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_digest"), packed_texts], names=["_id", "_digest", "_packed"])
 
     def run(batches):
         import pyarrow as pa
@@ -367,9 +373,10 @@ def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataF
                     out[1].append(s.view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")).mapInArrow(packed, "_id long, _packed binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), _digest(text).alias("_digest"))
+    rows = rows.mapInArrow(packed, "_id long, _digest long, _packed binary")
     wanted = wanted.hint("merge")  # it grows with the corpus; the same plan at every size
-    rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"])).select("set_id", "_packed")
+    rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_digest"] == wanted["digest"])).select("set_id", "_packed")
     return rows.mapInArrow(run, "set_id long, shingles array<long>")
 
 
@@ -527,7 +534,7 @@ def jaccard_components(
     held = written(spark, _signatures(docs, doc_id, text, n, percent, buckets), "signatures")
     signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
     possible = written(spark, _possible(held, percent), "possible")
-    possible = possible.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    possible = possible.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
     sets = written(spark, _shingle_sets(docs, doc_id, text, n, possible).dropDuplicates(["set_id"]), "sets")
     keys = written(spark, _rare_keys(spark, sets, percent, buckets), "keys")
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
