@@ -78,13 +78,18 @@ def restore_spaces(marked: Column) -> Column:
     return F.array_join(F.transform(pieces, piece), "")
 
 
+def _hole(token: Column) -> Column:
+    """A word that a template leaves open; one that reads like a wildcard is a value, too."""
+    return is_variable_token(token) | (token == WILDCARD)
+
+
 def token_template(line: Column) -> Column:
     """The line's words with every variable one as a wildcard, joined by single spaces."""
-    return F.array_join(F.transform(tokens(line), lambda t: F.when(is_variable_token(t), WILDCARD).otherwise(t)), " ")
+    return F.array_join(F.transform(tokens(line), lambda t: F.when(_hole(t), WILDCARD).otherwise(t)), " ")
 
 
 def token_variables(line: Column) -> Column:
-    return F.filter(tokens(line), is_variable_token)
+    return F.filter(tokens(line), _hole)
 
 
 def fill(template: Column, variables: Column) -> Column:
@@ -138,7 +143,7 @@ class Miner:
         if found is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            found = self.known[word] = any(t.match(word) for t in self.tests)
+            found = self.known[word] = word == WILDCARD or any(t.match(word) for t in self.tests)
         return found
 
     def add(self, words: list[str]):
