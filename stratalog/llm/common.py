@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +68,19 @@ def bounded_sample(df: DataFrame, key: str, per_class: int, label: str) -> DataF
     return parts[0].unionByName(parts[1])
 
 
+@contextlib.contextmanager
+def without_cycles():
+    """Python's cycle collector off for a while: for code that makes many objects and no cycles, whose
+    tables the collector would walk again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def utf8(column) -> list:
     """The UTF-8 bytes of an Arrow string column, None for null."""
     import pyarrow as pa

@@ -23,13 +23,15 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, byte_batches, free_name
+from stratalog.llm.common import added, byte_batches, free_name, without_cycles
 
 SPACE = "▁"
+NONE = -2
 
 
 class MergeEncoder:
@@ -56,19 +58,26 @@ class MergeEncoder:
         self.ranks = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p]))}
         self.automaton = ahocorasick.Automaton()
         for p in self.usable:
-            self.automaton.add_word(p, len(p))
+            self.automaton.add_word(p, self.ids[p])
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.shorter: dict[str, str | None] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        # By id: the piece, its length, and the longest usable piece that it starts with, itself
+        # excepted. The last entries are what a character that is no piece (-1) has.
+        self.n = n
+        self.pieces = [lib.id_to_piece(i) for i in range(n)]
+        self.size = [*map(len, self.pieces), 1]
+        self.shorter = [NONE] * (n + 1)
+        for p in self.usable:
+            self.shorter[self.ids[p]] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.usable), -1 if len(p) > 1 else NONE)
+        self.fits: dict[int, bool] = {}
         long = [p for p in self.ids if len(p) > 1]
         joined = {a for p in long for a in p}
         self.crossed = any(b == SPACE and a != SPACE for p in long for a, b in zip(p, p[1:]))
         inner = "".join(re.escape(c) for c in sorted(joined - {SPACE}))
         self.parts = re.compile((f"{SPACE}*[{inner}]+|" if inner else "") + f"{SPACE}+|[^{SPACE}{inner}]+") if not self.crossed else re.compile(r"(?s).+")
         self.inner = joined
-        self.table: dict[str, tuple[str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.table: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.table_size = table_size
 
     def _merge(self, text: str) -> list[str]:
@@ -101,91 +110,83 @@ class MergeEncoder:
         comes before the merges that made the two. These are undone from the last one on, and the
         border's neighbours are compared with the ones undone so far. Equal scores (runs of spaces)
         depend on places, so there the merging is done in full."""
-        key = (a, b)
-        if (known := self.fits.get(key)) is not None:
-            return known
-        if len(self.fits) >= 300_000:
-            self.fits.clear()
         if SPACE + SPACE in a + b:
-            known = self._merge(a + b) == [a, b]
-        else:
-            ranks, halves, last = self.ranks, self.halves, 1 << 60
-            while True:
-                if ranks.get(a + b, last) < last:
-                    known = False
-                    break
-                of_a, of_b = (ranks[a] if a in halves else -1), (ranks[b] if b in halves else -1)
-                if of_a > of_b:
-                    last, a = of_a, halves[a][1]
-                elif of_b >= 0:
-                    last, b = of_b + 1, halves[b][0]  # of equal merges the left one comes first
-                else:
-                    known = True
-                    break
-        self.fits[key] = known
-        return known
-
-    def _next_shorter(self, piece: str) -> str | None:
-        """The longest usable piece that piece starts with, itself excepted."""
-        if piece not in self.shorter:
-            self.shorter[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.usable), None)
-        return self.shorter[piece]
+            return self._merge(a + b) == [a, b]
+        ranks, halves, last = self.ranks, self.halves, 1 << 60
+        while True:
+            if ranks.get(a + b, last) < last:
+                return False
+            of_a, of_b = (ranks[a] if a in halves else -1), (ranks[b] if b in halves else -1)
+            if of_a > of_b:
+                last, a = of_a, halves[a][1]
+            elif of_b >= 0:
+                last, b = of_b + 1, halves[b][0]  # of equal merges the left one comes first
+            else:
+                return True
 
-    def _longest(self, text: str) -> list[int]:
-        """For each position the length of the longest piece that starts there, 1 if there is none.
-        Matches come by their ends, so of those with one start the longest comes last."""
-        found = [1] * len(text)
-        if len(self.automaton):
-            for end, size in self.automaton.iter(text):
-                found[end - size + 1] = size
-        return found
+    def _fit(self, a: int, b: int) -> bool:
+        """_compatible by ids, kept in a table of bounded size."""
+        if len(self.fits) >= 200_000:
+            self.fits.clear()
+        fit = self.fits[a * self.n + b] = self._compatible(self.pieces[a], self.pieces[b])
+        return fit
 
-    def backtrack(self, text: str) -> list[str]:
-        """The pieces of text; characters that are no piece stand for themselves."""
-        if not text:
+    def backtrack(self, text: str) -> list[int]:
+        """The ids of text's pieces; -1 stands for a character that is no piece."""
+        total, size, shorter, fits, n = len(text), self.size, self.shorter, self.fits, self.n
+        if not total:
             return []
-        longest, failed, fits = self._longest(text), bytearray(len(text) // 8 + 1), self.fits
-        at, end, total, pieces = 0, longest[0], len(text), []
-        before, token = None, text[: longest[0]]
+        # Matches come by their ends, so of those with one start the longest comes last.
+        longest = [-1] * total
+        if len(self.automaton):
+            for end, token in self.automaton.iter(text):
+                longest[end - size[token] + 1] = token
+        failed, out = None, []
+        at, before, token = 0, -1, longest[0]
+        end = size[token]
         while True:
-            if not (failed[end >> 3] >> (end & 7)) & 1:
-                fit = True if before is None else fits.get((before, token))
-                if fit if fit is not None else self._compatible(before, token):
-                    pieces.append(token)
+            if failed is None or not (failed[end >> 3] >> (end & 7)) & 1:
+                fit = True if before < 0 or token < 0 else fits.get(before * n + token)
+                if fit if fit is not None else self._fit(before, token):
+                    out.append(token)
                     if end == total:
-                        return pieces
-                    at, before = end, token
-                    end = at + longest[at]
-                    token = text[at:end]
+                        return out
+                    at, before, token = end, token, longest[end]
+                    end += size[token]
                     continue
-            token = self._next_shorter(token)
-            while token is None:  # nothing that starts here fits: back to the piece before
+            token = shorter[token]
+            while token == NONE:  # nothing that starts here fits: back to the piece before
+                failed = failed if failed is not None else bytearray(total // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                if not pieces:
+                if not out:
                     raise ValueError("no segmentation: the vocabulary is not of merge type")
-                token = pieces.pop()
-                at -= len(token)
-                before = pieces[-1] if pieces else None
-                token = self._next_shorter(token)
-            end = at + len(token)
+                token = out.pop()
+                at -= size[token]
+                before = out[-1] if out else -1
+                token = shorter[token]
+            end = at + size[token]
 
     def _ids_of(self, part: str) -> list[int]:
-        out: list[int] = []
-        for p in self.backtrack(part):
-            if (i := self.ids.get(p)) is not None:
-                out.append(i)
+        found = self.backtrack(part)
+        if -1 not in found:
+            return found
+        out, at = [], 0
+        for token in found:
+            if token >= 0:
+                out.append(token)
             elif self.bytes_at:
-                out.extend(self.bytes_at[b] for b in p.encode())
+                out.extend(self.bytes_at[b] for b in part[at].encode())
             else:
                 out.append(self.unknown)
+            at += self.size[token]
         return out
 
-    def _entry(self, part: str) -> tuple[str, tuple[int, ...]]:
-        """The part's ids as text and list. The table has two generations: a full one becomes the
-        older, and what is still used moves over from there, so frequent parts stay."""
+    def _entry(self, part: str) -> str:
+        """The part's ids as text, "12,7". The table has two generations: a full one becomes the older,
+        and what is still used moves over from there, so frequent parts stay. Texts are small, and
+        the cycle collector doesn't walk them."""
         if (known := self.older.pop(part, None)) is None:
-            ids = self._ids_of(part)
-            known = (",".join(map(str, ids)), tuple(ids))
+            known = ",".join(map(str, self._ids_of(part)))
             if len(part) > 256:
                 return known
         if len(self.table) >= self.table_size:
@@ -196,14 +197,23 @@ class MergeEncoder:
     def prepared(self, text: str) -> str:
         return (" " + text).replace(" ", SPACE) if text else ""
 
-    def entries(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        entry, out = self._entry, []
+    def encode_text(self, text: str) -> str:
+        """The ids of a text, joined by commas."""
+        out, get = [], self.table.get
         for p in self.parts.findall(self.prepared(text)):
-            out.append(self.table.get(p) or entry(p))
-        return out
+            known = get(p)
+            if known is None:
+                known, get = self._entry(p), self.table.get
+            out.append(known)
+        return ",".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for _, own in self.entries(text or "") for i in own]
+        ids = self.encode_text(text or "")
+        return list(map(int, ids.split(","))) if ids else []
+
+    def forget(self) -> None:
+        """Empties the older table; between tasks a worker holds the vocabulary and the younger one."""
+        self.older = {}
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
@@ -241,23 +251,27 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", ids: bool = T
     def run(batches):
         import pyarrow as pa
 
-        codec = encoder(model)
-        for batch in byte_batches(batches, text, 4 << 20):
+        codec, kinds = encoder(model), {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
+        for batch in byte_batches(batches, text, 2 << 20):
             columns: dict[str, list] = {n: [] for n, _ in wanted}
             for value in batch.column(text).to_pylist():
-                parts = codec.entries(value or "")
-                own = [i for _, ids_of in parts for i in ids_of]
+                with without_cycles():
+                    joined = codec.encode_text(value or "")
+                    own = list(map(int, joined.split(","))) if joined else []
+                    back = codec.decode(own) if own else ""
                 columns["n_tokens"].append(len(own))
-                back = codec.decode(own) if own else ""
                 if ids:
-                    columns["token_ids"].append(own)
+                    columns["token_ids"].append(pa.array(own, pa.int32()))
                     columns["decoded"].append(back)
                 if digests:
-                    columns["ids_sha256"].append(hashlib.sha256(",".join([e[0] for e in parts]).encode()).hexdigest())
+                    columns["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
                     columns["decoded_sha256"].append(hashlib.sha256(back.encode()).hexdigest())
-            kinds = {"n_tokens": pa.int64(), "token_ids": pa.list_(pa.int32())}
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(v, kinds.get(n, pa.string())) for n, v in columns.items())], names=[f.name for f in schema.fields]
-            )
+            if ids:
+                sizes = [0, *accumulate(map(len, columns["token_ids"]))]
+                flat = pa.concat_arrays(columns["token_ids"]) if columns["token_ids"] else pa.array([], pa.int32())
+                columns["token_ids"] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+            found = [v if isinstance(v, pa.Array) else pa.array(v, kinds.get(n, pa.string())) for n, v in columns.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[f.name for f in schema.fields])
+        codec.forget()
 
     return df.mapInArrow(run, schema)
