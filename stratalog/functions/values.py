@@ -38,19 +38,26 @@ def is_ipv4(v: Column) -> Column:
     return ipv4_to_long(v).isNotNull()
 
 
-def _seconds(y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
-    """Seconds of a wall clock reading since 1970, on the proleptic calendar; null for no such day."""
-    day = F.try_to_date(F.concat_ws("-", y, m, d), "yyyy-MM-dd")
-    h, mi, s = (x.try_cast("long") for x in (h, mi, s))
-    valid = (h < 24) & (mi < 60) & (s < 60)
-    return F.when(valid, F.unix_date(day).cast("long") * 86400 + h * 3600 + mi * 60 + s)
+def _seconds(shaped: Column, y: Column, m: Column, d: Column, h: Column, mi: Column, s: Column) -> Column:
+    """Seconds of a wall clock reading since 1970, on the proleptic Gregorian calendar; null for no such
+    day or time, and unless shaped. Counted by arithmetic, from matching texts only: a cast that fails
+    costs an exception a row."""
+    y, m, d, h, mi, s = (F.when(shaped, x).try_cast("long") for x in (y, m, d, h, mi, s))
+    leap = ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
+    length = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    valid = m.between(1, 12) & (d >= 1) & (d <= length) & (h < 24) & (mi < 60) & (s < 60)
+    # years that start in March, so that the leap day comes last
+    year = F.when(m <= 2, y - 1).otherwise(y)
+    day_of_year = F.floor((153 * ((m + 9) % 12) + 2) / 5) + d - 1
+    days = 365 * year + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400) + day_of_year - 719468
+    return F.when(valid, days * 86400 + h * 3600 + mi * 60 + s)
 
 
 def parse_clf(v: Column) -> Column:
     """struct(seconds, opening, zone, closing) of an access log time; the zone is kept, not applied."""
     g = lambda k: F.regexp_extract(v, CLF, k)
     month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), g(3)).cast("string"), 2, "0")
-    seconds = _seconds(g(4), month, g(2), g(5), g(6), g(7))
+    seconds = _seconds(v.rlike(CLF), g(4), month, g(2), g(5), g(6), g(7))
     return F.when(v.rlike(CLF) & seconds.isNotNull(), F.struct(seconds.alias("seconds"), g(1).alias("opening"), g(8).alias("zone"), g(9).alias("closing")))
 
 
@@ -71,12 +78,13 @@ def print_clf(p: Column) -> Column:
 def parse_iso(v: Column) -> Column:
     """struct(nanos, separator, decimals, zone) of an ISO 8601 time: nanoseconds of the wall clock.
     Null outside the years whose nanoseconds fit 64 bits."""
-    g = lambda k: F.regexp_extract(v, ISO, k)
-    seconds = _seconds(g(1), g(2), g(3), g(5), g(6), g(7))
-    fraction = F.substring(g(8), 2, 9)
+    g = lambda at, n: F.substring(v, at, n)  # noqa: E731  all parts before the fraction have fixed places
+    seconds = _seconds(v.rlike(ISO), g(1, 4), g(6, 2), g(9, 2), g(12, 2), g(15, 2), g(18, 2))
+    fraction = F.regexp_extract(v, r"^.{19}\.([0-9]{1,9})", 1)
     nanos = seconds * 1_000_000_000 + F.rpad(fraction, 9, "0").try_cast("long")
     fits = v.rlike(ISO) & seconds.between(-9_223_372_036, 9_223_372_035)
-    return F.when(fits, F.struct(nanos.alias("nanos"), g(4).alias("separator"), F.length(fraction).alias("decimals"), g(9).alias("zone")))
+    zone = F.regexp_extract(v, r"^.{19}(?:\.[0-9]*)?(.*)$", 1)
+    return F.when(fits, F.struct(nanos.alias("nanos"), g(11, 1).alias("separator"), F.length(fraction).alias("decimals"), zone.alias("zone")))
 
 
 def print_iso(p: Column) -> Column:
