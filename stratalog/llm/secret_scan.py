@@ -1,7 +1,8 @@
 r"""Secret scanning with a random forest that removes false positives.
 
 Candidates are runs of 12 or more credential characters with a digit, or with a change of case, found
-with one pattern over every whole text, each with the word before it and what joins the two. A random
+by splitting every whole text where one starts, each with the word before it and what joins the two
+(which may be, or hold, a candidate itself). A random
 forest judges them by length, character transitions, dictionary coverage, the document's path and the
 neighbouring words. It is trained on labelled findings: the ones given, or by default ones made by
 rule from the known shapes of credentials and of their look-alikes (hashes of commits, identifiers,
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import free_name
 
-#: group 1: the word before; group 2: what joins it; group 3: the candidate
-CANDIDATE = r"""(?:([^\s"'=:]{1,32})(\s{0,2}(?:=>|[=:])\s{0,2}["'`]?|\s{1,2}["'`]?|["'`(<]))?(?<![A-Za-z0-9+/_.@-])([A-Za-z0-9][A-Za-z0-9+/_.@-]{11,}={0,2})"""
+#: where a candidate starts, and what it is; nothing before it is consumed
+START = r"""(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z0-9][A-Za-z0-9+/_.@-]{11})"""
+CANDIDATE = r"""^[A-Za-z0-9][A-Za-z0-9+/_.@-]{11,}={0,2}"""
+#: the end of the text before a candidate; group 1: the word before, group 2: what joins it
+BEFORE = r"""([^\s"'=:]{1,32})(["'`]?\s{0,2}(?:=>|[=:])\s{0,2}["'`]?|\s{1,2}["'`]?|["'`(<])?\z"""
+#: characters that BEFORE can span, and the candidates that can lie in them
+REACH, NEAR = 48, 4
 
 # Words that stand before credentials, before look-alikes, and in paths of samples.
 CREDENTIAL_WORDS = "token|secret|passw|passwd|pwd|api|apikey|key|auth|bearer|credential|private|access|aws|session|signature"
@@ -185,12 +191,18 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "
     and n_candidates."""
     where = F.col(path) if path and path in docs.columns else F.lit(None).cast("string")
     found, count, held = free_name(docs, "findings"), free_name(docs, "n_candidates"), free_name(docs, "_candidates")
-    whole = F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0))
+    pieces, tails = free_name(docs, "_pieces"), free_name(docs, "_tails")
 
-    def candidate(m: Column) -> Column:
-        part = lambda k: F.regexp_extract(m, CANDIDATE, k)
-        value = F.regexp_replace(part(3), r"[.@/_-]+$", "")
-        return F.struct(value.alias("value"), part(1).alias("before"), part(2).alias("joint"))
+    def valued(piece: Column, k: Column) -> Column:
+        return F.struct(F.regexp_replace(F.regexp_extract(piece, CANDIDATE, 0), r"[.@/_-]+$", "").alias("value"), k.alias("k"))
+
+    def placed(c: Column) -> Column:
+        near = (F.coalesce(F.get(F.col(tails), c["k"] - n), F.lit("")) for n in range(NEAR, 0, -1))
+        return F.struct(c["value"].alias("value"), F.substring(F.concat(*near), -REACH, REACH).alias("to"))
+
+    def joined(c: Column) -> Column:
+        part = lambda k: F.regexp_extract(c["to"], BEFORE, k)
+        return F.struct(c["value"].alias("value"), part(1).alias("before"), part(2).alias("joint"))
 
     def described(c: Column) -> Column:
         return F.struct(c["value"].alias("value"), c["before"].alias("before"), *(x.cast("double").alias(n) for n, x in describe(c["value"], c["before"], c["joint"], where).items()))
@@ -198,15 +210,19 @@ def scan(docs: DataFrame, forest: list, text: str = "text", path: str | None = "
     def plausible(c: Column) -> Column:
         return (F.length(c["value"]) >= 12) & (c["value"].rlike("[0-9]") | c["value"].rlike("[a-z][A-Z]"))
 
-    steps = F.filter(F.transform(whole, candidate), plausible)
+    steps = F.filter(F.transform(pieces, valued), plausible)
+    steps = F.transform(F.transform(steps, placed), joined)
     steps = F.transform(steps, described)
     steps = F.transform(
         steps, lambda c: F.struct(c["value"].alias("value"), c["before"].alias("before"), forest_score(forest, lambda n: c[n]).alias("score"))
     )
     # Most texts have no candidate at all; one cheap test spares them the rest.
     none = F.expr("cast(array() as array<struct<value:string,before:string,score:double>>)")
-    likely = F.col(text).rlike(r"[A-Za-z0-9+/_.@-]{12}") & F.col(text).rlike(r"[A-Za-z0-9+/_.@-]*[0-9]|[a-z][A-Z]")
-    out = docs.withColumn(held, F.when(likely, steps).otherwise(none))
+    likely = F.col(text).rlike(r"[A-Za-z0-9+/_.@-]{12}") & F.col(text).rlike(r"[0-9]|[a-z][A-Z]")
+    # The text before the first candidate, then each candidate with what follows it.
+    out = docs.withColumn(pieces, F.when(likely, F.split(F.concat(F.lit("\n"), F.col(text)), START, -1)))
+    out = out.withColumn(tails, F.transform(pieces, lambda p: F.substring(p, -REACH, REACH)))
+    out = out.withColumn(held, F.when(likely, steps).otherwise(none)).drop(pieces, tails)
     return (
         out.withColumn(found, F.coalesce(F.filter(held, lambda c: c["score"] >= least), none))
         .withColumn(count, F.coalesce(F.size(held), F.lit(0)).cast("long"))

@@ -146,6 +146,19 @@ def test_secrets(spark, forest):
     assert secret_scan.scan(df.limit(0), forest).count() == 0
 
 
+def test_secrets_next_to_each_other(spark, forest):
+    hexes = hashlib.sha1(b"x").hexdigest()
+    keys = [f"AKIA{hashlib.md5(b'%d' % k).hexdigest()[:16].upper()}" for k in range(40)]
+    cells = [
+        ("keys\n" + "\n".join(keys), list(zip(keys, ["keys", *keys]))), (keys[0], [(keys[0], "")]), (f"use {keys[0]} {keys[1]}, {keys[2]}", list(zip(keys, ["use", keys[0], f"{keys[1]},"]))),
+        (f'the client_secret = "{hexes}"', [(hexes, "client_secret")]), (f"export AWS_SECRET_ACCESS_KEY={hexes}", [(hexes, "AWS_SECRET_ACCESS_KEY")]),
+        (f'{{"client_secret": "{hexes}"}}', [(hexes, "client_secret")]), (f"😀 access_token: {hexes}", [(hexes, "access_token")]),
+    ]
+    rows = secret_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cells)], "k int, text string"), forest).orderBy("k").collect()
+    assert [[(f["value"], f["before"]) for f in r["findings"]] for r in rows] == [x for _, x in cells]
+    assert [r["n_candidates"] for r in rows] == [len(x) for _, x in cells]
+
+
 def test_secret_forest_held_out(spark, forest):
     rows = secret_scan.made_findings(spark, 9000)
     found = secret_scan.describe(F.col("value"), F.col("before"), F.col("joint"), F.col("path"))
