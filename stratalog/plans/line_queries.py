@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
+from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, over_all, query, table
 from stratalog.operators import json_lines as j
 from stratalog.operators import parse, similar, templates
 from stratalog.plans import codec
@@ -228,9 +228,10 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", j.json_field(text, "$.k").cast("long").alias("k"), j.separators(text).alias("style"), parse.json_depth(text).alias("depth"))
 
 
-def nested_lines(spark, sf_dir):
-    """JSON lines of optional and nested members, keys in two orders."""
-    rows = table(spark, sf_dir, "events").filter("event_id < 2000")
+def nested_lines(spark, sf_dir, below=None):
+    """JSON lines of optional and nested members, keys in two orders; of events with ids under below, or all."""
+    rows = table(spark, sf_dir, "events")
+    rows = rows if below is None else rows.filter(F.col("event_id") < below)
     first = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "user": {"name": "u'), F.col("user_id").cast("string"), F.lit('", "tags": ["a", 1, null]}, "v": 1.50'))
     extra = F.when(F.col("event_id") % 3 == 0, ', "x.y": null').otherwise("")
     second = F.concat(F.lit('{"v": -0, "ok": true, "empty": {}, "id": '), F.col("event_id").cast("string"), F.lit("}"))
@@ -245,8 +246,8 @@ NESTED = """WITH lines AS (SELECT 's' AS stream_id, event_id // 500 AS chunk_id,
 
 
 @query(NESTED + "SELECT line_no, line AS restored, CASE WHEN second THEN 4 WHEN extra THEN 5 ELSE 4 END AS n_leaves FROM lines")
-def json_flatten_roundtrip(spark, sf_dir):
-    rows = j.flatten_lines(nested_lines(spark, sf_dir))
+def json_flatten_roundtrip(spark, sf_dir, below=2000):
+    rows = j.flatten_lines(nested_lines(spark, sf_dir, below))
     return j.unflatten_lines(rows).select("line_no", F.col("line").alias("restored"), F.size("leaves").cast("long").alias("n_leaves"))
 
 
@@ -256,8 +257,8 @@ def json_flatten_roundtrip(spark, sf_dir):
   unnest(CASE WHEN second THEN [0, 1, 2, 3] WHEN extra THEN [0, 1, 2, 3, 4] ELSE [0, 1, 2, 3] END) AS position FROM lines), f AS (SELECT chunk_id, key, min(line_no * 100 + position) AS p FROM c GROUP BY ALL)
 SELECT chunk_id, key, row_number() OVER (PARTITION BY chunk_id ORDER BY p) - 1 AS key_id FROM f"""
 )
-def json_key_table(spark, sf_dir):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
+def json_key_table(spark, sf_dir, below=2000):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
     return j.key_table(cells, ["chunk_id"]).withColumn("key_id", F.col("key_id").cast("long"))
 
 
@@ -266,8 +267,8 @@ def json_key_table(spark, sf_dir):
     + """, o AS (SELECT chunk_id, line_no, CASE WHEN second THEN 'b' WHEN extra THEN 'c' ELSE 'a' END AS shape FROM lines)
 SELECT chunk_id, line_no, dense_rank() OVER (PARTITION BY chunk_id ORDER BY f) - 1 AS order_id FROM (SELECT *, min(line_no) OVER (PARTITION BY chunk_id, shape) AS f FROM o)"""
 )
-def json_key_orders(spark, sf_dir):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
+def json_key_orders(spark, sf_dir, below=2000):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
     return j.key_orders(cells, j.key_table(cells, ["chunk_id"]), ["chunk_id"]).select("chunk_id", "line_no", F.col("order_id").cast("long").alias("order_id"))
 
 
@@ -276,8 +277,8 @@ def json_key_orders(spark, sf_dir):
     + """, k AS (SELECT unnest(['id', 'user.name', 'user.tags', 'v', 'x.y', 'ok', 'empty']) AS key)
 SELECT line_no, key, CASE WHEN key IN ('id', 'v') THEN 2 WHEN key IN ('user.name', 'user.tags') THEN CASE WHEN second THEN 0 ELSE 2 END WHEN key = 'x.y' THEN CASE WHEN extra AND NOT second THEN 1 ELSE 0 END ELSE CASE WHEN second THEN 2 ELSE 0 END END AS presence FROM lines, k"""
 )
-def json_presence(spark, sf_dir):
-    rows = j.flatten_lines(nested_lines(spark, sf_dir))
+def json_presence(spark, sf_dir, below=2000):
+    rows = j.flatten_lines(nested_lines(spark, sf_dir, below))
     cells = j.leaf_cells(rows, ["chunk_id", "line_no"])
     return j.with_absent(cells, rows, j.key_table(cells, ["chunk_id"]), ["chunk_id"]).select("line_no", "key", "presence")
 
@@ -290,8 +291,8 @@ UNION ALL SELECT chunk_id, 'user.name', n - s, 0, 0, n - s, 0, u, 'DICTIONARY' F
 UNION ALL SELECT chunk_id, 'v', n, s, n - s, 0, 0, 0, 'RAW' FROM n UNION ALL SELECT chunk_id, 'x.y', x, 0, 0, 0, x, 0, 'RAW' FROM n
 UNION ALL SELECT chunk_id, 'ok', s, 0, 0, 0, 0, 0, 'RAW' FROM n UNION ALL SELECT chunk_id, 'empty', s, 0, 0, 0, 0, 0, 'RAW' FROM n"""
 )
-def json_key_statistics(spark, sf_dir):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
+def json_key_statistics(spark, sf_dir, below=2000):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
     return j.key_statistics(cells, ["chunk_id"]).select("chunk_id", "key", "n", "n_integer", "n_float", "n_string", "n_null", "n_distinct", "hint")
 
 
@@ -300,11 +301,15 @@ def json_key_statistics(spark, sf_dir):
     + """, c AS (SELECT chunk_id, 'u' || user_id AS value, count(*) AS n FROM lines WHERE NOT second GROUP BY ALL)
 SELECT chunk_id, value, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, value) - 1 AS code FROM c"""
 )
-def json_value_dictionary(spark, sf_dir):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
+def json_value_dictionary(spark, sf_dir, below=2000):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
     return j.value_dictionary(cells, ["chunk_id"]).select("chunk_id", "value", F.col("code").cast("long").alias("code"))
 
 
+for _f in (json_flatten_roundtrip, json_key_table, json_key_orders, json_presence, json_key_statistics, json_value_dictionary):
+    over_all(_f, " WHERE event_id < 2000", below=None)
+
+
 def document_chunks(spark, sf_dir):
     """All documents' lines as ten streams in chunks, in the order of documents and lines."""
     rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
