@@ -357,7 +357,7 @@ def legacy_decode(spark, sf_dir):
 
 def spread_events(spark, sf_dir):
     line = F.concat_ws(" ", F.lit("user"), F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit("did"), F.col("event_type"), F.col("event_id").cast("string"))
-    return chunked_events(spark, sf_dir).filter("event_id < 3000").select(F.floor(F.col("event_id") / 500).alias("chunk_id"), F.col("event_id").alias("line_no"), line.alias("line"))
+    return chunked_events(spark, sf_dir).select(F.floor(F.col("event_id") / 500).alias("chunk_id"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
 @query()

@@ -13,3 +13,9 @@ QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 def test_json_of_all_events(spark, name):
     assert "event_id < " not in SQL[f"{name}_all"]
     compare(QUERIES[f"{name}_all"](spark, SF), connect(SF), SQL[f"{name}_all"])
+
+
+@pytest.mark.parametrize("name", ["xor_window", "xor_bucket_window"])
+def test_similar_lines_of_all_events(spark, name):
+    found = QUERIES[name](spark, SF).select("line_no").collect()
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
