@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
+from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, over_all, query, table
 from stratalog.operators import select
 from stratalog.plans import codec
 from stratalog.sources import lines as source
@@ -99,16 +99,20 @@ def verify_roundtrip(spark, sf_dir):
 
 
 @query(EVENTS + "SELECT event_id, true AS same, CASE WHEN event_id % 10 = 0 THEN '[[\"k\"], ' || (props->>'$.k') || ']' END AS difference FROM e WHERE event_id < 1000")
-def json_semantic_verify(spark, sf_dir):
+def json_semantic_verify(spark, sf_dir, below=1000):
     props = F.col("props")
     spelled = F.concat(F.lit('{ "z":1, "k":'), F.get_json_object(props, "$.k"), F.lit("}"))
     swapped = F.concat(F.lit('{"k":  '), F.get_json_object(props, "$.k"), F.lit(', "z": 1}'))
     other = F.when(F.col("event_id") % 10 == 0, "{}").otherwise(props)
-    rows = table(spark, sf_dir, "events").filter("event_id < 1000")
+    rows = table(spark, sf_dir, "events")
+    rows = rows if below is None else rows.filter(F.col("event_id") < below)
     both = F.when(F.col("event_id") % 10 == 0, F.get(F.array_sort(F.filter(F.concat(F.array_except(select.json_leaves(props), select.json_leaves(other))), lambda x: x != "[[], {}]")), F.lit(0)))
     return rows.select("event_id", select.same_json(spelled, swapped).alias("same"), both.alias("difference"))
 
 
+over_all(json_semantic_verify, " WHERE event_id < 1000", below=None)
+
+
 @query()
 def method_choice(spark, sf_dir):
     """raw lines or encoded columns, whichever is smaller and lossless, for ten streams of lines."""
@@ -154,11 +158,29 @@ def file_roundtrip(spark, sf_dir):
     return back.agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
+@query(LINES + "SELECT count(*) AS n, count(DISTINCT line) AS n_distinct, sum(strlen(line))::BIGINT AS bytes FROM lines")
+def file_roundtrip_all(spark, sf_dir):
+    """All lines of all documents written as text files and read back by the splittable reader."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lines-')}"
+    path = f"{folder.rstrip('/')}/file-roundtrip-all-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    document_lines(spark, sf_dir).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    back = source.read_large_lines(spark, f"{path}/*.txt")
+    return back.agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"), F.sum(F.octet_length("line")).alias("bytes"))
+
+
 @query("SELECT stream_id, count(*) AS n, count(DISTINCT line_no) AS n_distinct FROM (SELECT 'json' AS stream_id, unnest(generate_series(0, 999)) AS line_no UNION ALL SELECT 'blocks', unnest(generate_series(0, 999))) GROUP BY 1")
-def generators(spark, sf_dir):
+def generators(spark, sf_dir, size=(1000,)):
     """Synthetic logs, and that all of them parse as what they are."""
     from stratalog.operators import parse
 
-    made = source.made_json_lines(spark, 1000).filter(parse.is_json(F.col("line")))
-    blocks = source.made_block_lines(spark, 1000).filter(parse.parse_block_log(F.col("line")).isNotNull())
+    made = source.made_json_lines(spark, *size).filter(parse.is_json(F.col("line")))
+    blocks = source.made_block_lines(spark, *size).filter(parse.parse_block_log(F.col("line")).isNotNull())
     return made.unionByName(blocks).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("n_distinct"))
+
+
+@query("SELECT stream_id, count(*) AS n, count(DISTINCT line_no) AS n_distinct FROM (SELECT 'json' AS stream_id, unnest(generate_series(0, 99999)) AS line_no UNION ALL SELECT 'blocks', unnest(generate_series(0, 99999))) GROUP BY 1")
+def generators_all(spark, sf_dir):
+    """The same at the generators' own size."""
+    return generators(spark, sf_dir, ())

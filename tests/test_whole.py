@@ -19,3 +19,8 @@ def test_json_of_all_events(spark, name):
 def test_similar_lines_of_all_events(spark, name):
     found = QUERIES[name](spark, SF).select("line_no").collect()
     assert sorted(r[0] for r in found) == sorted(r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
+
+
+@pytest.mark.parametrize("name", ["json_semantic_verify_all", "file_roundtrip_all", "generators_all"])
+def test_reports_of_all_rows(spark, name):
+    compare(QUERIES[name](spark, SF), connect(SF), SQL[name])
