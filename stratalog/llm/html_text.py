@@ -1,7 +1,7 @@
 """Main text of web pages by scoring the element tree.
 
 Elements that are never article text (scripts, forms, menus, footers, comments and the like, by tag,
-role or the words of class and id) are cut out, unless they hold most of the page's text. Every
+role or the words of class and id) are cut out, but for wrappers named like that around the article. Every
 remaining block of text gives points for its length and its commas to its ancestors, less with every
 level; an element's points are discounted by its link density. The element with the most points is
 the container; siblings that score enough of the container's points, or read as prose, are kept with
@@ -57,6 +57,10 @@ FURNITURE = set(
     "popup promo promotion recommended related replies respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe "
     "subscription teaser toolbar topbar widget widgets".split()
 )
+# Of these, what no article is in.
+NO_WRAPPER = set(
+    "comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr notice notices notification replies respond".split()
+)
 PROSE = set("article body content entry main post story text".split())
 LEVELS = (1.0, 0.5, 1 / 3, 1 / 4, 1 / 5)
 
@@ -65,7 +69,7 @@ class Page:
     """The element tree as lists by node number; parents come before their children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.cut, self.bonus = ["#root"], [-1], [False], [0.0]
+        self.tag, self.parent, self.cut, self.never, self.bonus = ["#root"], [-1], [False], [False], [0.0]
         self.pieces: list[tuple[int, int, str]] = []  # (node, block, text): block is the nearest block element, counted anew after breaks
         self._read(source)
 
@@ -102,8 +106,9 @@ class Page:
             node = len(tag)
             tag.append(name)
             parent.append(open_[-1])
-            cut, bonus = self._kind(name, m["rest"])
+            cut, never, bonus = self._kind(name, m["rest"])
             self.cut.append(cut)
+            self.never.append(never)
             self.bonus.append(bonus)
             if name in RAW and not m["rest"].endswith("/>"):
                 close = re.compile(f"</{name}", re.I).search(source, at)
@@ -131,25 +136,28 @@ class Page:
                 return
 
     @staticmethod
-    def _kind(name: str, rest: str) -> tuple[bool, float]:
+    def _kind(name: str, rest: str) -> tuple[bool, bool, float]:
+        """Whether it is cut, whether it stays cut as a wrapper, and its points."""
         if name in NEVER:
-            return True, 0.0
+            return True, True, 0.0
         bonus = 25.0 if name in ("article", "main") else 0.0
         if "=" not in rest and "hidden" not in rest:
-            return False, bonus
-        cut = False
+            return False, False, bonus
+        cut = never = False
         for key, a, b, c, hidden in ATTRIBUTE.findall(rest):
             key, value = key.lower(), (a or b or c).lower()
             if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                cut = True
+                cut = never = True
             elif key == "role":
                 cut |= value in NEVER_ROLES
+                never |= value in NEVER_ROLES
                 bonus += 25.0 if value in ("main", "article") else 0.0
             elif key in ("class", "id", "itemprop"):
                 words = set(NAME_WORD.findall(value))
                 cut |= bool(words & FURNITURE) and name not in ("html", "body")
+                never |= bool(words & NO_WRAPPER)
                 bonus += 10.0 if words & PROSE else 0.0
-        return cut, bonus
+        return cut, never and name not in ("html", "body"), bonus
 
     def text(self) -> str:
         n = len(self.tag)
@@ -163,11 +171,7 @@ class Page:
             sizes.append(size)
             length[node] += size
             links[node] += size if in_link[node] else 0
-        own = length[:]
-        for k in range(n - 1, 0, -1):
-            length[self.parent[k]] += length[k]
-            links[self.parent[k]] += links[k]
-        self._restore(length, own)
+        self._restore(length, in_link)
         gone = [False] * n
         for k in range(1, n):
             gone[k] = gone[self.parent[k]] or self.cut[k]
@@ -238,15 +242,24 @@ class Page:
                 out.append(piece)
         return " ".join(html.unescape("".join(out)).split())
 
-    def _restore(self, length, own) -> None:
-        """An element isn't cut for its class if most of the page's text is in it."""
-        plain = 0
-        gone = [False] * len(self.tag)
-        for k in range(1, len(self.tag)):
-            gone[k] = gone[self.parent[k]] or self.tag[k] in NEVER
-            plain += 0 if gone[k] else own[k]
-        for k in range(1, len(self.tag)):
-            if self.cut[k] and self.tag[k] not in NEVER and length[k] > 0.5 * max(plain, 1):
+    def _restore(self, own, in_link) -> None:
+        """A wrapper isn't cut for its class if most of the text is in it and the article is: an article
+        or main element, or, on pages without one, nearly all the text that isn't cut or linked."""
+        n = len(self.tag)
+        hidden, gone = [False] * n, [False] * n
+        for k in range(1, n):
+            hidden[k] = hidden[self.parent[k]] or self.never[k]
+            gone[k] = gone[self.parent[k]] or self.cut[k]
+        length = [0 if h else size for h, size in zip(hidden, own)]
+        plain = sum(length)
+        outside = sum(size for size, g, a in zip(own, gone, in_link) if not g and not a)
+        marked = [not h and not c and (t in ("article", "main") or b >= 25) for h, c, t, b in zip(hidden, self.cut, self.tag, self.bonus)]
+        none = not any(marked)
+        for k in range(n - 1, 0, -1):
+            length[self.parent[k]] += length[k]
+            marked[self.parent[k]] |= marked[k] and not self.cut[k] or marked[k] and length[k] > 0.5 * plain
+        for k in range(1, n):
+            if self.cut[k] and not hidden[k] and length[k] > 0.5 * max(plain, 1) and (marked[k] or none and outside < 0.1 * length[k]):
                 self.cut[k] = False
 
 

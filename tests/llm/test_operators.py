@@ -57,6 +57,19 @@ def test_html_odd_pages(source, text):
     assert html_text.main_text(source) == text
 
 
+SENTENCE = "These words, said plainly, make a sentence of an article. "
+
+
+def test_html_comments_longer_than_the_article():
+    article = "".join(f"<p>{SENTENCE}{k}</p>" for k in range(10))
+    text = " ".join(f"{SENTENCE}{k}" for k in range(10))
+    long = "".join(f"<p>I, for one, think, {SENTENCE}</p>" for _ in range(60))
+    for kind in ('class="comments"', 'id="cookie-notice"', 'class="sidebar"', "hidden", 'role="complementary"'):
+        assert html_text.main_text(f"<body><article>{article}</article><div {kind}>{long}</div></body>") == text
+        assert html_text.main_text(f"<body><div class='has-sidebar'><article>{article}</article></div><div class='comments'>{long}</div></body>") == text
+    assert html_text.main_text(f"<body><a href=1>Skip</a><div class='with-nav'>{article}</div></body>") == text
+
+
 # --- chat
 
 
