@@ -4,8 +4,8 @@ Elements that are never article text (scripts, forms, menus, footers, comments a
 role or the words of class and id) are cut out, but for wrappers named like that around the article. Every
 remaining block of text gives points for its length and its commas to its ancestors, less with every
 level; an element's points are discounted by its link density. The element with the most points is
-the container; siblings that score enough of the container's points, or read as prose, are kept with
-it. The text of all blocks kept is decoded, its white space folded, and joined in page order.
+the container; if it is in an article or main element, all of that element is kept, else siblings that
+score enough by themselves, or read as prose, are kept with it. The text of all blocks kept is decoded, its white space folded, and joined in page order.
 
 Defined results: null and empty pages, and pages without any text, give an empty text; unclosed,
 crossed and cut-off tags are repaired like browsers do in the usual cases; pages of any length are
@@ -212,14 +212,15 @@ class Page:
         best = max(range(n), key=lambda k: (final[k], -k))
         while self.tag[best] not in BLOCK and best:
             best = self.parent[best]
-        kept = {best}
-        if best and self.tag[best] not in ("html", "body", "main", "article"):
-            least = max(10.0, 0.2 * final[best])
+        whole = self._article(best)
+        kept = {best if whole is None else whole}
+        if whole is None and best and self.tag[best] not in ("html", "body"):
             for k in range(1, n):
                 if self.parent[k] == self.parent[best] and not gone[k] and length[k]:
                     density = links[k] / length[k]
                     prose = self.tag[k] in ("p", "pre", "blockquote") and (length[k] > 80 and density < 0.25 or not links[k] and commas[k] + size_of.get(k, 0) > 20)
-                    if final[k] >= least or prose or self.tag[k] in ("h1", "h2", "h3") and density < 0.3:
+                    listing = self.tag[k] in ("ul", "ol", "dl", "table", "figure", "section") and density < 0.25
+                    if final[k] >= 3 or prose or listing or self.tag[k] in ("h1", "h2", "h3", "h4", "h5", "h6") and density < 0.3:
                         kept.add(k)
         inside = [False] * n
         listed: dict[int, int] = {}
@@ -230,7 +231,7 @@ class Page:
                     up = self.parent[up]
                 listed[up] = listed.get(up, 0) + 1
         for k in range(n):
-            menu = k not in kept and listed.get(k, 0) >= 3 and length[k] and links[k] > 0.66 * length[k]
+            menu = whole is None and k not in kept and listed.get(k, 0) >= 3 and length[k] and links[k] > 0.66 * length[k]
             inside[k] = (k in kept or (k > 0 and inside[self.parent[k]])) and not gone[k] and not menu
         out: list[str] = []
         last = None
@@ -242,6 +243,18 @@ class Page:
                 out.append(piece)
         return " ".join(html.unescape("".join(out)).split())
 
+    def _article(self, node: int) -> int | None:
+        """The outermost article around node, else the nearest element of the role or kind of main."""
+        found = main = None
+        while node > 0:
+            if self.bonus[node] >= 25:
+                if self.tag[node] == "article":
+                    found = node
+                elif main is None:
+                    main = node
+            node = self.parent[node]
+        return main if found is None else found
+
     def _restore(self, own, in_link) -> None:
         """A wrapper isn't cut for its class if most of the text is in it and the article is: an article
         or main element, or, on pages without one, nearly all the text that isn't cut or linked."""

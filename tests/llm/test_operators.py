@@ -70,6 +70,18 @@ def test_html_comments_longer_than_the_article():
     assert html_text.main_text(f"<body><a href=1>Skip</a><div class='with-nav'>{article}</div></body>") == text
 
 
+def test_html_whole_article():
+    body = "".join(f"<p>{SENTENCE}{k}</p>" for k in range(60))
+    parts = ["<h1>Head</h1>", f"<div class='lead'>{SENTENCE}</div>", f"<div class='wrap'><div class='body'>{body}</div><section><p>Last word.</p></section></div>", "<h4>Small</h4>"]
+    parts += ["<table><tr><td>1</td></tr></table>", "<figure><figcaption>Caption</figcaption></figure>", "<ul><li><a href=1>Source one</a><li><a href=2>Source two</a><li><a href=3>Source three</a></ul>"]
+    text = " ".join(re.sub("<[^>]*>", " ", "".join(parts)).split())
+    for kind in ("article", "main", "div role='main'"):
+        page = f"<body><{kind}>{''.join(parts)}<div class='share'>Share it</div></{kind.split()[0]}><div>Other, words</div></body>"
+        assert html_text.main_text(page) == text
+    alone = html_text.main_text(f"<body><div><div class='lead'><p>{SENTENCE}</p></div><div>{body}</div><ul><li>Item</ul></div></body>")
+    assert alone.startswith("These words") and alone.count("These words") == 61 and alone.endswith("Item")
+
+
 # --- chat
 
 
