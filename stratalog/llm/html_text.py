@@ -71,6 +71,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.cut, self.never, self.bonus = ["#root"], [-1], [False], [False], [0.0]
         self.pieces: list[tuple[int, int, str]] = []  # (node, block, text): block is the nearest block element, counted anew after breaks
+        self.places: dict[str, list[int]] = {}  # by tag, where its open elements are in the stack
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -102,7 +103,7 @@ class Page:
                 self._close(open_, "p", {"p"}, stop=SCOPE | {"td", "th", "li"})
             if name in CLOSED_BY_SAME:
                 while len(open_) > 1 and tag[open_[-1]] not in SCOPE and any(tag[k] in CLOSED_BY_SAME[name] for k in self._until_scope(open_)):
-                    open_.pop()
+                    self._pop(open_)
             node = len(tag)
             tag.append(name)
             parent.append(open_[-1])
@@ -117,6 +118,7 @@ class Page:
                 at = close.end() if close else end
                 at = source.find(">", at) + 1 or end
             elif name not in VOID and not m["rest"].endswith("/>"):
+                self.places.setdefault(name, []).append(len(open_))
                 open_.append(node)
         return
 
@@ -128,12 +130,14 @@ class Page:
 
     def _close(self, open_, name: str, names: set[str] | None = None, stop: set[str] = frozenset()) -> None:
         names = names or {name}
-        for i in range(len(open_) - 1, 0, -1):
-            if self.tag[open_[i]] in names:
-                del open_[i:]
-                return
-            if self.tag[open_[i]] in stop or len(open_) - i > 400:
-                return
+        last = lambda kinds: max((self.places[x][-1] for x in kinds if self.places.get(x)), default=0)
+        at = last(names)
+        if at > last(stop - names):
+            while len(open_) > at:
+                self._pop(open_)
+
+    def _pop(self, open_) -> None:
+        self.places[self.tag[open_.pop()]].pop()
 
     @staticmethod
     def _kind(name: str, rest: str) -> tuple[bool, bool, float]:

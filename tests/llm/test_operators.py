@@ -82,6 +82,11 @@ def test_html_whole_article():
     assert alone.startswith("These words") and alone.count("These words") == 61 and alone.endswith("Item")
 
 
+@pytest.mark.parametrize("n", [300, 5000])
+def test_html_many_unclosed_tags(n):
+    assert html_text.main_text(f"<body><nav>{'<font>menu ' * n}</nav><p>{SENTENCE}</p></body>") == SENTENCE.strip()
+
+
 # --- chat
 
 
