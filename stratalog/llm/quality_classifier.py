@@ -36,27 +36,27 @@ def _hashed(h):
 
 
 def features(text: bytes | None):
-    """Buckets of a text's features, one entry an occurrence: the n-grams of every word between its
+    """Buckets of a text's features, one entry an occurrence: the n-grams of code points of every word between its
     ends (which count as a character), the words, and the pairs of neighbours; pairs of a word with
     itself share a bucket. Long texts are hashed in pieces."""
     import numpy as np
 
     words, out, before = (text or b"").split(), [], None
     for k in range(0, len(words), PIECE_WORDS):
-        a = np.frombuffer(b" " + b" ".join(words[k : k + PIECE_WORDS]) + b" ", dtype=np.uint8)
-        end = a == 32
-        code = a.astype(np.uint32)
+        piece = b" " + b" ".join(words[k : k + PIECE_WORDS]) + b" "
+        code = np.frombuffer(piece.decode("utf-8", "replace").encode("utf-32-le"), dtype="<u4")
+        end = code == 32
         with np.errstate(over="ignore"):
-            h, inner = code[:-1] * np.uint32(0x01000193) + code[1:], np.ones(len(a) - 1, dtype=bool)
+            h, inner = code[:-1] * np.uint32(0x01000193) + code[1:], np.ones(len(code) - 1, dtype=bool)
             for n in (3, 4, 5):
-                if len(a) < n:
+                if len(code) < n:
                     break
                 h = h[:-1] * np.uint32(0x01000193) + code[n - 1 :]
                 inner = inner[:-1] & ~end[n - 2 : -1]
                 out.append(_hashed(h[inner] + np.uint32(n)))
             starts = np.flatnonzero(end[:-1] & ~end[1:]) + 1
             sizes = np.flatnonzero(~end[:-1] & end[1:]) + 1 - starts
-            place = np.arange(len(a)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(a)]))))
+            place = np.arange(len(code)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(code)]))))
             power = np.cumprod(np.full(int(place.max()) + 1, 0x85EBCA6B, dtype=np.uint32), dtype=np.uint32)
             word = np.add.reduceat(np.where(end, np.uint32(0), code * power[place]), starts, dtype=np.uint32) + sizes.astype(np.uint32)
             out.append(_hashed(word * np.uint32(0xC2B2AE35)))

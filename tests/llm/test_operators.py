@@ -300,6 +300,11 @@ def test_quality_features():
     assert (np.bincount(one) == np.bincount(parts)).all()
 
 
+def test_quality_features_are_of_characters():
+    f = quality_classifier.features
+    assert [len(f(x.encode())) for x in ("abc", "字中文", "где", "😀é中")] == [7, 7, 7, 7]
+
+
 def test_quality_on_odd_rows(spark, documents, no_documents):
     model = quality_classifier.fit(documents, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))
     assert {round(r["quality_score"], 6) for r in quality_classifier.score(documents, model).collect()} == {1.0}
