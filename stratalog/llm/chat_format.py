@@ -9,9 +9,10 @@ marks, takes the role up to the first line end and the text up to the last end m
 backslash from every escaped mark.
 
 Conversations are rendered as they are first, reparsed, and compared with their source. Where the
-turns that come back differ, the turns in which conflicting content occurs are escaped; where they
-still differ, all turns are (a conflict across turns). Escaping all is injective, so the loop ends
-there; round_trip says that the last comparison held. All of it is built-in column expressions.
+turns that come back differ, all turns are escaped, which changes those with control marks; escaping is
+injective, so the loop ends there, and round_trip says that the last comparison held. All of it is
+built-in column expressions, linear in a conversation's turns and characters: what a lambda needs from
+outside it is bound once, and running sums go over blocks of turns.
 
 Defined results: null roles and texts count as empty; turns are ordered by turn, then role, then
 text, so ties and repeated rows (which stay) have one order; turns with a null number come first;
@@ -24,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.llm.common import let, running_sums
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -71,49 +74,38 @@ def _well_formed(formatted: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """conv_id, formatted, round_trip, and turns: what the parser reads back, with loss_start and
-    loss_length of the assistant's texts in formatted (null for other roles)."""
+    """conv_id, formatted, round_trip, and turns: what the parser reads back (role, text, and raw, the
+    text as it stands in formatted), with loss_start and loss_length of the assistant's raw texts in
+    formatted (null for other roles)."""
     one = F.struct(
         F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     )
     grouped = rows.groupBy(F.col(conv_id).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("source"))
 
-    def rendered(escaped) -> Column:
-        def one_turn(t: Column) -> Column:
-            whole = escaped(t)
-            return render_turn(F.when(whole, escape_role(t["role"])).otherwise(t["role"]), F.when(whole, escape(t["text"])).otherwise(t["text"]))
-
+    def rendered(escaped: bool) -> Column:
+        one_turn = lambda t: render_turn(escape_role(t["role"]), escape(t["text"])) if escaped else render_turn(t["role"], t["text"])
         return F.concat_ws("", F.transform("source", one_turn))
 
-    def conflicting(t: Column) -> Column:
-        return (escape(t["text"]) != t["text"]) | (escape_role(t["role"]) != t["role"])
-
     def same(formatted: Column) -> Column:
         pair = lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))
         return _well_formed(formatted) & (F.transform(parse(formatted), pair) == F.transform("source", pair))
 
-    # Each try is a column of its own, so that it is computed once; a try that held is kept.
-    out = grouped.withColumn("_try", rendered(lambda t: F.lit(False)))
-    for escaped in (conflicting, lambda t: F.lit(True)):
-        out = out.withColumn("_held", same(F.col("_try")))
-        out = out.withColumn("_try", F.when(F.col("_held"), F.col("_try")).otherwise(rendered(escaped))).drop("_held")
-    out = out.select("conv_id", F.col("_try").alias("formatted"), same(F.col("_try")).alias("round_trip"))
+    # A try that held is kept.
+    held = let(rendered(False), lambda f: F.struct(f.alias("f"), same(f).alias("held")))
+    again = let(rendered(True), lambda f: F.struct(f.alias("f"), same(f).alias("held")))
+    out = grouped.withColumn("_try", let(held, lambda h: F.when(h["held"], h).otherwise(again)))
+    out = out.select("conv_id", F.col("_try.f").alias("formatted"), F.col("_try.held").alias("round_trip"))
     marks = len(START)
-    out = out.withColumn("_parsed", parse(F.col("formatted")))
-    # where each part begins: running sum of the lengths before it
-    ends = F.aggregate(
-        "_parsed",
-        F.expr("cast(array(0) as array<int>)"),
-        lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.lit(marks) + t["part_length"])),
-    )
-    out = out.withColumn("_at", ends)
-    turns = F.transform(
-        "_parsed",
-        lambda t, i: F.struct(
+
+    def told(turns: Column) -> Column:
+        starts = running_sums(F.transform(turns, lambda t: t["part_length"] + marks))
+        said = lambda t, at: F.struct(
             t["role"].alias("role"),
             t["text"].alias("text"),
-            F.when(t["role"] == "assistant", F.get(F.col("_at"), i) + marks + t["role_length"] + 1).alias("loss_start"),
+            t["raw"].alias("raw"),
+            F.when(t["role"] == "assistant", at + marks + t["role_length"] + 1).alias("loss_start"),
             F.when(t["role"] == "assistant", F.length(t["raw"])).alias("loss_length"),
-        ),
-    )
-    return out.select("conv_id", "formatted", "round_trip", turns.alias("turns"))
+        )
+        return F.zip_with(turns, starts, said)
+
+    return out.select("conv_id", "formatted", "round_trip", let(parse(F.col("formatted")), told).alias("turns"))

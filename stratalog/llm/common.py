@@ -5,10 +5,11 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,13 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most in this session, where it doesn't set a size of its own.
+    Spark's 64 MB are held several times by every task, on both sides."""
+    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def lean(run):
+    """run, a function over Arrow batches or groups, after which a worker gives free memory back: Python's
+    and Arrow's allocators keep it otherwise, and reused workers add up."""
+
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return over_batches
+
+
+def _give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir,
-    or, where that is unset (tests on one machine), a temporary folder set here."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or, where that is
+    unset and all of Spark runs on this machine (tests), a temporary folder set here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = getattr(spark, "_llm_checkpoint_dir", None)
         if not found:
+            if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = f"file://{tempfile.mkdtemp(prefix='llm-checkpoint-')}"
             spark.sparkContext.setCheckpointDir(found)
             spark._llm_checkpoint_dir = found
@@ -68,6 +105,24 @@ def bounded_sample(df: DataFrame, key: str, per_class: int, label: str) -> DataF
     return parts[0].unionByName(parts[1])
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body's lambdas use it: an expression that a
+    lambda refers to is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running_sums(numbers: Column, block: int = 256) -> Column:
+    """By element of an array of int, the sum of those before it. Sums run within blocks and over the
+    blocks' totals, so arrays that grow element by element stay small."""
+    grown = lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))
+    sums = lambda ns, start: F.aggregate(ns, F.array(start), grown)
+    total = lambda ns: F.aggregate(ns, F.lit(0), lambda a, n: a + n)
+    cut = lambda ns: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ns), F.lit(1)), F.lit(block)), lambda k: F.slice(ns, k, block))
+    within = lambda ns, start: F.slice(sums(ns, start), F.lit(1), F.size(ns))
+    joined = lambda bs: F.flatten(F.zip_with(bs, let(F.transform(bs, total), lambda t: F.slice(sums(t, F.lit(0)), F.lit(1), F.size(t))), within))
+    return let(numbers, lambda ns: let(cut(ns), joined))
+
+
 @contextlib.contextmanager
 def without_cycles():
     """Python's cycle collector off for a while: for code that makes many objects and no cycles, whose

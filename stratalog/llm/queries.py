@@ -38,7 +38,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = format_conversations(rows.unionByName(own))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     masked = F.filter("turns", lambda t: t["loss_start"].isNotNull())
-    loss = F.concat_ws("", F.transform(masked, lambda t: unescape(F.substr("formatted", t["loss_start"] + 1, t["loss_length"]))))
+    loss = F.concat_ws("", F.transform(masked, lambda t: unescape(t["raw"])))
     return out.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
