@@ -22,14 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, byte_batches, free_name
+from stratalog.llm.common import added, byte_batches, free_name, lean, small_batches
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?:>|\Z)|[^>]*+(?:>|\Z))""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))|\b(hidden)\b""")
+#: a name, and its value in one of three forms, where it has one
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 NAME_WORD = re.compile(r"[a-z]+|[0-9]+")
 
 # Element kinds of HTML.
@@ -148,9 +149,9 @@ class Page:
         if "=" not in rest and "hidden" not in rest:
             return False, False, bonus
         cut = never = False
-        for key, a, b, c, hidden in ATTRIBUTE.findall(rest):
+        for key, a, b, c in ATTRIBUTE.findall(rest):
             key, value = key.lower(), (a or b or c).lower()
-            if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+            if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 cut = never = True
             elif key == "role":
                 cut |= value in NEVER_ROLES
@@ -296,4 +297,5 @@ def extract_text(pages: DataFrame, html_column: str = "html", columns: list[str]
             found = pa.array([main_text(x) for x in batch.column(html_column).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], names=schema.names)
 
-    return pages.mapInArrow(run, schema)
+    small_batches(pages.sparkSession)
+    return pages.mapInArrow(lean(run), schema)
