@@ -4,8 +4,8 @@ Every word gives hashed features: itself, its character n-grams (3 to 5, with wo
 pair with the word before it. A feature has a learned vector, a document's vector is the average
 over its features, and a softmax over the labels reads it. Vectors and softmax are trained by
 stochastic gradient descent in numpy on the driver, on at most per_class labelled rows of each
-label (picked by a hash of the id, texts of at most fit_bytes bytes), weighted back to the labels'
-shares. For scoring, the two-label softmax of an average is linear in the features, so every feature
+label (picked by a hash of the id), weighted back to the labels' shares. Their whole texts are hashed
+in tasks; the driver gets at most 6 * BUCKETS bytes a row. For scoring, the two-label softmax of an average is linear in the features, so every feature
 has one number, its share of the logit; all texts are hashed whole, vectorised, with no shuffle.
 
 Defined results: null, empty and wordless texts have no features and score by the bias alone;
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, bounded_sample, byte_batches, free_name, utf8, written
+from stratalog.llm.common import added, bounded_sample, byte_batches, free_name, lean, small_batches, utf8, written
 
 BUCKETS = 1 << 15
 
@@ -73,7 +73,7 @@ def counted(text: bytes | None):
 
     n = np.bincount(features(text), minlength=BUCKETS)
     keys = np.flatnonzero(n)
-    return keys.astype(np.int32), n[keys].astype(np.float32)
+    return keys.astype(np.int16), n[keys].astype(np.float32)
 
 
 class Model:
@@ -91,7 +91,9 @@ class Model:
 
 
 def train(documents, weights, dimension: int = 12, least_steps: int = 20_000, rate: float = 0.25, seed: int = 5) -> Model:
-    """documents: (label, buckets, counts). Plain stochastic gradient descent, one document a step."""
+    """documents: (label, buckets, counts). Stochastic gradient descent, one document a step. A vector's
+    step is the gradient divided by the squared norm of the document's feature shares: an average of
+    hundreds of features moves little by the bare gradient, that of a few moves much."""
     import numpy as np
 
     random = np.random.default_rng(seed)
@@ -114,7 +116,6 @@ def train(documents, weights, dimension: int = 12, least_steps: int = 20_000, ra
             out -= now * np.outer(p, mean)
             bias -= 0.1 * now * p
             if len(buckets):
-                # an average of hundreds of features moves little; its features share the step by their squares
                 vectors[buckets] -= now * np.outer(own / max(float(own @ own), 1e-9) * 0.05, back)
     return Model((vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0]))
 
@@ -127,11 +128,11 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     per_class: int = 1500,
-    fit_bytes: int = 100_000,
 ) -> Model:
     import numpy as np
 
     spark = docs.sparkSession
+    small_batches(spark)
     known = labels if rows is None else labels.filter(rows)
     known = known.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.min("_y").cast("int").alias("_y"))
@@ -141,7 +142,7 @@ def fit(
     if len(counts) < 2:
         return constant
     chosen = bounded_sample(known, "_id", per_class, "_y")  # 2 * per_class rows at most
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter(F.octet_length("_text") <= fit_bytes)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # an id may come often
     sample = written(spark, one.select("_y", "_text"), "quality-sample")
 
@@ -151,11 +152,11 @@ def fit(
         for batch in byte_batches(batches, "_text", 4 << 20):
             found = [counted(t) for t in utf8(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_y"), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([b for _, b in found], pa.list_(pa.float32()))],
+                [batch.column("_y"), pa.array([a for a, _ in found], pa.list_(pa.int16())), pa.array([b for _, b in found], pa.list_(pa.float32()))],
                 names=["y", "f", "n"],
             )
 
-    got = sample.mapInArrow(hashed, "y int, f array<int>, n array<float>").toArrow()
+    got = sample.mapInArrow(lean(hashed), "y int, f array<smallint>, n array<float>").toArrow()
     documents = [(y, f.values.to_numpy(), n.values.to_numpy()) for y, f, n in zip(got.column("y").to_pylist(), got.column("f"), got.column("n"))]
     documents.sort(key=lambda d: (d[0], d[1].tobytes(), d[2].tobytes()))
     drawn = [sum(1 for d in documents if d[0] == k) for k in (0, 1)]
@@ -179,4 +180,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str]
             scores = pa.array([own.score(t) for t in utf8(batch.column(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), scores], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), schema)
