@@ -6,9 +6,10 @@ sentence still has (label noise ends up there, so long documents don't add it up
 bias and leak are trained together from document labels by full-batch Adam in numpy, and the
 sentences with a high probability are then the located offenders.
 
-The model is fitted on at most per_class labelled rows of each label (picked by a hash of the id,
-texts of at most fit_bytes bytes), weighted back to the labels' shares; vocabulary counts cover the
-whole sample. Every document is scored over its whole text, without a shuffle.
+The model is fitted on at most per_class labelled rows of each label (picked by a hash of the id),
+weighted back to the labels' shares, over their whole texts: which words are candidates is decided by
+counts that tasks make, and the driver gets the candidates, their places in sentences, and numbers of
+the sentences without any. Every document is scored over its whole text, without a shuffle.
 
 Defined results: null and empty texts have no sentences and score leak; labels that are null or of
 unknown ids are ignored, of repeated ids the larger counts; without labels of both kinds the score
@@ -24,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, bounded_sample, byte_batches, free_name, written
+from stratalog.llm.common import added, bounded_sample, byte_batches, free_name, lean, small_batches, written
 
-SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
+SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 WORD = re.compile(r"\w+")
 
 
@@ -60,47 +61,26 @@ class Model:
         return 1 - (1 - self.leak) * math.exp(sum(map(math.log1p, (-min(p, 1 - 1e-12) for p in scores))))
 
 
-def train(documents: list[tuple[int, list[list[int]]]], size: int, shares: tuple[float, float], steps: int = 300, l2: float = 0.01, least_ratio: float = 16.0):
-    """documents: (label, sentences as lists of word ids); shares: what a document of each label weighs.
-
-    Near copies share the weight of one document: each weighs the mean of 1 / (how many documents of
-    its label have the sentence) over its sentences, so that no copied passage looks like evidence."""
-    import collections
-
+def train(y, weight, plain, of, word, lengths, size: int, steps: int = 300, l2: float = 0.01):
+    """Word weights, bias and leak (logit), by document: label y, weight, and plain, its sentences
+    without candidate words; by other sentence: its document (of) and its number of words (lengths);
+    word: their candidates one after another. size: how many candidates there are."""
     import numpy as np
 
-    y = np.array([d[0] for d in documents], dtype=float)
-    sets = [{tuple(s) for s in d[1] if s} for d in documents]
-    holders = collections.Counter((d[0], s) for d, own in zip(documents, sets) for s in own)
-    single = np.array([np.mean([1 / holders[d[0], s] for s in own]) if own else 1.0 for d, own in zip(documents, sets)])
-    weight = np.where(y > 0, shares[1], shares[0]) * single
-    # Words are candidates if toxic documents hold them more often than chance lets them (a
-    # log-likelihood ratio over least_ratio on the weighted counts); the rest stays at no weight.
-    held = np.zeros((2, size))
-    for d, w in zip(documents, single):
-        held[d[0], sorted({k for s in d[1] for k in s})] += w
-    whole = np.array([[single[y == 0].sum()], [single[y > 0].sum()]])
-    rate = held.sum(axis=0) / whole.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = held / whole
-        ratio = 2 * np.nansum(held * np.log(own / rate) + (whole - held) * np.log((1 - own) / (1 - rate)), axis=0)
-        keep = (ratio > least_ratio) & (own[1] > 3 * own[0])
-    of = np.array([k for k, d in enumerate(documents) for _ in d[1]], dtype=np.int64)
-    chosen = [[w for w in s if keep[w]] for d in documents for s in d[1]]
-    lengths = [len(s) for s in chosen]
     at = np.repeat(np.arange(len(lengths)), lengths)
-    word = np.array([w for s in chosen for w in s], dtype=np.int64)
     theta = np.zeros(size + 2)
     theta[size], theta[size + 1] = -6.0, -3.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = theta[size] + np.bincount(at, theta[word], minlength=len(of))
-        total = np.bincount(of, np.logaddexp(0, z), minlength=len(y))
+        bias = theta[size]
+        z = bias + np.bincount(at, theta[word], minlength=len(of))
+        total = np.bincount(of, np.logaddexp(0, z), minlength=len(y)) + plain * np.logaddexp(0, bias)
         leak = 1 / (1 + np.exp(-theta[size + 1]))
         miss = np.clip((1 - leak) * np.exp(-total), 1e-12, 1 - 1e-9)
         back = weight * np.where(y > 0, -miss / (1 - miss), 1.0)
         g = back[of] / (1 + np.exp(-z))
-        grad = np.concatenate((np.bincount(word, g[at], minlength=size), [g.sum(), (back * leak).sum()]))
+        of_bias = g.sum() + (back * plain).sum() / (1 + np.exp(-bias))
+        grad = np.concatenate((np.bincount(word, g[at], minlength=size), [of_bias, (back * leak).sum()]))
         grad[:size] += 2 * l2 * theta[:size]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -109,6 +89,62 @@ def train(documents: list[tuple[int, list[list[int]]]], size: int, shares: tuple
     return theta
 
 
+def _own_weights(sample: DataFrame) -> dict:
+    """By sampled document: the mean of 1 / (how many documents of its label have the sentence) over its
+    distinct sentences, so that near copies share the weight of one and no copied passage looks like
+    evidence; 1 without sentences. Sentences are counted by hash in tasks."""
+
+    def hashed(batches):
+        import pyarrow as pa
+        import xxhash
+
+        for batch in byte_batches(batches, "_text", 4 << 20):
+            found = [{xxhash.xxh64_intdigest(" ".join(sorted(w))) >> 1 for a, b in sentences(t) if (w := words(t[a:b]))} for t in batch.column("_text").to_pylist()]
+            sizes = [len(f) for f in found]
+            which = pa.array([k for k, n in enumerate(sizes) for _ in range(n)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(which), batch.column("_y").take(which), pa.array([h for f in found for h in f], pa.int64())], names=["_id", "_y", "h"])
+
+    said = sample.mapInArrow(lean(hashed), T.StructType([sample.schema["_id"], sample.schema["_y"], T.StructField("h", T.LongType())]))
+    holders = said.groupBy("_y", "h").agg(F.count("*").alias("n"))
+    own = said.join(holders, ["_y", "h"]).groupBy("_id").agg(F.avg(F.round(F.lit(1 << 30) / F.col("n")).cast("decimal(20,0)")).cast("double").alias("w"))
+    return {r["_id"]: r["w"] / (1 << 30) for r in own.collect()}  # one row a sampled document at most
+
+
+def _candidates(sample: DataFrame, own: dict, least_ratio: float) -> list[str]:
+    """The words that toxic documents hold more often than chance lets them: a log-likelihood ratio over
+    least_ratio on the weighted counts, and three times the others' share. Words of all toxic documents
+    can't tell which sentence offends; these and all others have no weight."""
+    shipped = sample.sparkSession.sparkContext.broadcast(own)
+
+    def held(batches):
+        import pyarrow as pa
+
+        found: dict[tuple[str, int], int] = {}
+        for batch in byte_batches(batches, "_text", 4 << 20):
+            for i, y, t in zip(batch.column("_id").to_pylist(), batch.column("_y").to_pylist(), batch.column("_text").to_pylist()):
+                w = round(shipped.value.get(i, 1.0) * (1 << 30))
+                for word in words(t):
+                    found[word, y] = found.get((word, y), 0) + w
+            if len(found) > 500_000:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "y", "w"])
+                found = {}
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(found.values(), pa.int64())], names=["word", "y", "w"])
+
+    whole = {0: 0.0, 1: 0.0}
+    for r in sample.select("_id", "_y").collect():
+        whole[r["_y"]] += own.get(r["_id"], 1.0)
+    per = lambda k: (F.sum(F.when(F.col("y") == k, F.col("w")).otherwise(0)) / float(1 << 30)).alias(f"h{k}")
+    counts = sample.mapInArrow(lean(held), "word string, y int, w long").groupBy("word").agg(per(0), per(1))
+    rate = (F.col("h0") + F.col("h1")) / (whole[0] + whole[1])
+    part = lambda n, share, of: F.when((n > 0) & (share > 0), n * F.log(share / of)).otherwise(0.0)
+    ratio = F.lit(0.0)
+    for k in (0, 1):
+        held_, rest = F.col(f"h{k}"), F.lit(whole[k]) - F.col(f"h{k}")
+        ratio = ratio + 2 * part(held_, held_ / whole[k], rate) + 2 * part(rest, rest / whole[k], 1 - rate)
+    kept = counts.filter((ratio > least_ratio) & (F.col("h1") < whole[1] * (1 - 1e-9)) & (F.col("h1") / whole[1] > 3 * F.col("h0") / whole[0]))
+    return sorted(r["word"] for r in kept.select("word").collect())
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -117,53 +153,55 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     per_class: int = 3000,
-    fit_bytes: int = 200_000,
-    vocabulary: int = 30_000,
+    least_ratio: float = 16.0,
 ) -> Model:
     """The model of the labelled rows for which `rows` holds (over labels' columns; all by default)."""
+    import math
+
+    import numpy as np
+
     spark = docs.sparkSession
-    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter("_id is not null and _y in (0, 1)")
-    if rows is not None:
-        known = labels.filter(rows).select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter("_id is not null and _y in (0, 1)")
+    small_batches(spark)
+    known = labels if rows is None else labels.filter(rows)
+    known = known.select(F.col(doc_id).alias("_id"), F.col(label).alias("_y")).filter("_id is not null and _y in (0, 1)")
     known = known.groupBy("_id").agg(F.max("_y").cast("int").alias("_y"))
     counts = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return Model({}, -30.0, share)
     chosen = bounded_sample(known, "_id", per_class, "_y")  # 2 * per_class rows at most
-    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter(F.octet_length("_text") <= fit_bytes)
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # an id may come often
-    sample = written(spark, one.select("_y", "_text"), "toxic-sample")
-
-    def distinct_words(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column("_text").to_pylist() for w in words(t)], pa.string())], names=["w"])
-
-    n = sample.count()
-    least = max(3, n // 1000)
-    counted = sample.select("_text").mapInArrow(distinct_words, "w string").groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    names = sorted(r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(vocabulary).collect())
+    sample = written(spark, one, "toxic-sample")
+    drawn = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if len(drawn) < 2:
+        return Model({}, -30.0, share)
+    own = _own_weights(sample)
+    names = _candidates(sample, own, least_ratio)
     shipped = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
 
-    def ids(batches):
+    def placed(batches):
         import pyarrow as pa
 
         index = shipped.value
         for batch in byte_batches(batches, "_text", 4 << 20):
-            out = [[[index[w] for w in sorted(words(t[a:b])) if w in index] for a, b in sentences(t)] for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["y", "s"])
-
-    found = sample.mapInArrow(ids, "y int, s array<array<int>>").toArrow()
-    documents = sorted(zip(found.column("y").to_pylist(), found.column("s").to_pylist()))
-    drawn = [sum(1 for y, _ in documents if y == k) for k in (0, 1)]
-    if not all(drawn):
-        return Model({}, -30.0, share)
-    weights = tuple(counts[k] / drawn[k] * sum(drawn) / sum(counts.values()) for k in (0, 1))
-    import math
-
-    theta = train(documents, len(names), weights)
+            plain, said = [], []
+            for t in batch.column("_text").to_pylist():
+                all_ = [sorted(index[w] for w in words(t[a:b]) & index.keys()) for a, b in sentences(t)]
+                said.append([s for s in all_ if s])
+                plain.append(len(all_) - len(said[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(plain, pa.int64()), pa.array(said, pa.list_(pa.list_(pa.int32())))], names=["_id", "_y", "plain", "s"])
+
+    found = T.StructType([sample.schema["_id"], sample.schema["_y"], T.StructField("plain", T.LongType()), T.StructField("s", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    got = sample.mapInArrow(lean(placed), found).toArrow().sort_by("_id").combine_chunks()
+    y = got.column("_y").to_numpy()
+    weight = np.array([own.get(i, 1.0) for i in got.column("_id").to_pylist()])
+    weight = weight * np.array([counts[k] / drawn[k] * len(y) / sum(counts.values()) for k in (0, 1)])[y]
+    said = got.column("s").combine_chunks()
+    per = np.asarray(said.value_lengths())
+    theta = train(
+        y.astype(float), weight, got.column("plain").to_numpy().astype(float), np.repeat(np.arange(len(y)), per), np.asarray(said.flatten().flatten()), np.asarray(said.flatten().value_lengths()), len(names)
+    )
     strong = {w: float(theta[k]) for k, w in enumerate(names) if abs(theta[k]) > 0.02}
     return Model(strong, float(theta[len(names)]), 1 / (1 + math.exp(-float(theta[len(names) + 1]))))
 
@@ -192,7 +230,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", offending: float =
                 [*(batch.column(c) for c in keep), pa.array(totals, pa.float64()), pa.array(spans, kind)], names=[f.name for f in schema.fields]
             )
 
-    return docs.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
