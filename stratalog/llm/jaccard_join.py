@@ -27,19 +27,21 @@ only decide how large a task gets.
 Defined results: null or wordless texts have the empty set and are linked with nothing, each its
 own component; a text of fewer than n words has its whole sequence as its one shingle; rows with
 equal ids count as one document (their links add up); rows with a null id take part and get the
-smallest id of their component, null if there is none; an empty table gives an empty table; extra
-columns are ignored.
+smallest id of their component, null if there is none; ids that aren't whole numbers are compared as
+text; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from stratalog.llm.common import byte_batches, utf8, written
+from stratalog.llm.common import byte_batches, free_name, lean, small_batches, utf8, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-ROUNDS = 60
 
 
 def _mix(a):
@@ -132,10 +134,10 @@ def _key_rows(block: int, keys: list, buckets: int):
     return rows
 
 
-def _signed_batch(rows: list):
+def _signed_batch(rows: list, id_kind: str = "long"):
     import pyarrow as pa
 
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    kinds = [pa.int32(), pa.int64() if id_kind == "long" else pa.string(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
     schema = pa.schema([(c.split()[0], k) for c, k in zip(SIGNED.split(", "), kinds)])
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], schema=schema)
 
@@ -153,32 +155,38 @@ class _Block:
         self.held += len(keys)
         return self.block, len(self.keys) - 1
 
-    def rows(self, last: bool = False):
+    def rows(self, last: bool = False, id_kind: str = "long"):
         if self.keys and (last or len(self.keys) >= BLOCK_SETS or self.held >= BLOCK_KEYS):
             if rows := _key_rows(self.block, self.keys, self.buckets):
-                yield _signed_batch(rows)
+                yield _signed_batch(rows, id_kind)
             self.block, self.keys, self.held = self.block + 1, [], 0
 
 
+def _id(docs: DataFrame, doc_id: str):
+    """The ids as they are compared and returned: whole numbers as long, all others as text."""
+    whole = isinstance(docs.schema[doc_id].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return F.col(f"`{doc_id}`").cast("long" if whole else "string")
+
+
 def _digest(text: str):
     """Tells texts under one document id, or without any, apart when a set's text is looked up."""
     return F.xxhash64(text)
 
 
-def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, buckets: int) -> DataFrame:
-    """DOCUMENT rows: each document's set and, for the first of equal sets in a task, its block and
-    number there and (in first) its text's digest. KEYS and FREQUENT rows: a share of the sets' shingles, chosen by hash, twice as
+def _signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """Of (_id, _text). DOCUMENT rows: each document's set and, for the first of equal sets in a task, its
+    block and number there and (in first) its text's digest. KEYS and FREQUENT rows: a share of the sets' shingles, chosen by hash, twice as
     large as the share that a linked set can have alone."""
+    id_kind = docs.schema["_id"].dataType.simpleString().replace("bigint", "long")
     share = min(1 << 16, (100 - percent) * 2 * (1 << 16) // 100 + 1)
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
         shingler, seen, block = Shingler(n), set(), _Block(buckets)
-        for batch in byte_batches(batches, text, 8 << 20):
+        for batch in byte_batches(batches, "_text", 8 << 20):
             out = []
-            for did, digest, value in zip(batch.column(doc_id).cast(pa.int64()).to_pylist(), batch.column("_digest").to_pylist(), utf8(batch.column(text))):
+            for did, digest, value in zip(batch.column("_id").to_pylist(), batch.column("_digest").to_pylist(), utf8(batch.column("_text"))):
                 s = shingler(value)
                 sid = set_id(s) if len(s) else None
                 if len(seen) > 500_000:
@@ -189,12 +197,12 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, b
                 seen.add(sid)
                 keys = s[(s & np.uint64(0xFFFF)) < np.uint64(share)] >> np.uint64(64 - KEY_BITS)
                 out.append((DOCUMENT, did, sid, len(s), len(keys), *block.add(keys), None, digest, None, None))
-                yield from block.rows()
+                yield from block.rows(id_kind=id_kind)
             if out:
-                yield _signed_batch(out)
-        yield from block.rows(last=True)
+                yield _signed_batch(out, id_kind)
+        yield from block.rows(last=True, id_kind=id_kind)
 
-    return docs.select(doc_id, text, _digest(text).alias("_digest")).mapInArrow(run, SIGNED)
+    return docs.select("_id", "_text", _digest("_text").alias("_digest")).mapInArrow(lean(run), SIGNED.replace("doc_id long", f"doc_id {id_kind}"))
 
 
 def _entries(table):
@@ -241,9 +249,9 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
 
     met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(shared, "block long, members binary")
     frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members")
-    none = lambda t: F.lit(None).cast(t)
+    none, id_kind = lambda t: F.lit(None).cast(t), held.schema["doc_id"].dataType.simpleString()
     documents = held.filter((F.col("kind") == DOCUMENT) & F.col("block").isNotNull()).select("block", none("binary").alias("members"), "member", "set_id", "doc_id", F.col("first").alias("digest"), "n_shingles", "kept")
-    rows = met.unionByName(frequent).select("block", "members", none("int").alias("member"), *(none("long").alias(c) for c in ("set_id", "doc_id", "digest", "n_shingles", "kept")))
+    rows = met.unionByName(frequent).select("block", "members", none("int").alias("member"), none("long").alias("set_id"), none(id_kind).alias("doc_id"), *(none("long").alias(c) for c in ("digest", "n_shingles", "kept")))
 
     def count(table):
         import numpy as np
@@ -262,7 +270,7 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
         keep = alone <= most_unshared(sets.column("n_shingles").to_numpy(), percent)
         return sets.filter(pa.array(keep)).select(["set_id", "doc_id", "digest"])
 
-    return documents.unionByName(rows).groupBy("block").applyInArrow(count, "set_id long, doc_id long, digest long")
+    return documents.unionByName(rows).groupBy("block").applyInArrow(count, f"set_id long, doc_id {id_kind}, digest long")
 
 
 def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -287,7 +295,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield _signed_batch(out)
         yield from block.rows(last=True)
 
-    held = written(spark, sets.mapInArrow(pack, SIGNED), "rare-keys")
+    held = written(spark, sets.mapInArrow(lean(pack), SIGNED), "rare-keys")
     ranked = "block long, members binary, ranks binary, keys binary, first long, rank int"
 
     def rank(table):
@@ -346,7 +354,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     return documents.unionByName(rows).groupBy("block").applyInArrow(choose, "key long, set_id long")
 
 
-def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
+def _shingle_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
     """(set_id, shingles) of wanted's (set_id, doc_id, digest), from the texts once more. The texts are
     shuffled compressed."""
 
@@ -373,11 +381,11 @@ def _shingle_sets(docs: DataFrame, doc_id: str, text: str, n: int, wanted: DataF
                     out[1].append(s.view("int64"))
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64()))], names=["set_id", "shingles"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"), _digest(text).alias("_digest"))
-    rows = rows.mapInArrow(packed, "_id long, _digest long, _packed binary")
+    rows = docs.select("_id", "_text", _digest("_text").alias("_digest"))
+    rows = rows.mapInArrow(lean(packed), f"_id {docs.schema['_id'].dataType.simpleString()}, _digest long, _packed binary")
     wanted = wanted.hint("merge")  # it grows with the corpus; the same plan at every size
     rows = rows.join(wanted, rows["_id"].eqNullSafe(wanted["doc_id"]) & (rows["_digest"] == wanted["digest"])).select("set_id", "_packed")
-    return rows.mapInArrow(run, "set_id long, shingles array<long>")
+    return rows.mapInArrow(lean(run), "set_id long, shingles array<long>")
 
 
 def local_links(ids, sets, percent: int, sides=None, skip=None) -> list[tuple[int, int]]:
@@ -508,7 +516,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
     now, state = written(spark, now, "edges"), None
-    for _ in range(ROUNDS):
+    for _ in count():  # each round brings nodes nearer to their roots
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -520,7 +528,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if got == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         state = got
-    raise RuntimeError(f"components didn't settle in {ROUNDS} rounds")
 
 
 def jaccard_components(
@@ -529,13 +536,15 @@ def jaccard_components(
     """One row per document: doc_id, n_shingles, component_id (the smallest id of its component of
     documents whose n-gram sets have a Jaccard similarity of percent / 100 or more)."""
     spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(_id(docs, doc_id).alias("_id"), F.col(f"`{text}`").alias("_text"))
     size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate is enough
     buckets = max(64, min(1 << 20, int(str(size)) // bucket_bytes))
-    held = written(spark, _signatures(docs, doc_id, text, n, percent, buckets), "signatures")
+    held = written(spark, _signatures(docs, n, percent, buckets), "signatures")
     signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
     possible = written(spark, _possible(held, percent), "possible")
     possible = possible.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
-    sets = written(spark, _shingle_sets(docs, doc_id, text, n, possible).dropDuplicates(["set_id"]), "sets")
+    sets = written(spark, _shingle_sets(docs, n, possible).dropDuplicates(["set_id"]), "sets")
     keys = written(spark, _rare_keys(spark, sets, percent, buckets), "keys")
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
     members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members")
@@ -558,6 +567,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """docs with one document of each component, the one with the smallest id. Rows that share an id
     stay or go together; rows with a null id stay."""
     found = jaccard_components(docs, doc_id, text, n, percent)
-    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    name = free_name(docs, "_gone")
+    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct()
     gone = gone.hint("merge")  # it grows with the corpus; the same plan at every size
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, _id(docs, doc_id) == F.col(name), "left_anti")
