@@ -18,14 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BATCH_BYTES = 4 << 20
+#: What this session sets for rows that hold whole texts: Arrow batches of 2 MB (Spark's 64 MB are held
+#: several times by every task, on both sides) and Parquet batches of 512 rows (4096 texts are arrays of
+#: tens of MB, which the heap grows for and keeps).
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_BYTES at most in this session, where it doesn't set a size of its own.
-    Spark's 64 MB are held several times by every task, on both sides."""
-    if "spark.sql.execution.arrow.maxBytesPerBatch" not in spark.conf.getAll:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Sets BATCHES in this session, but for what it sets itself."""
+    own = spark.conf.getAll
+    for name, value in BATCHES.items():
+        if name not in own:
+            spark.conf.set(name, value)
 
 
 def lean(run):
@@ -76,11 +80,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read back: cuts the lineage,
-    outlives lost executors, and is computed once however often it is used."""
+def size_of(df: DataFrame) -> int:
+    """Spark's estimate of df's bytes, for the number of tasks and buckets."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def few_files(df: DataFrame, about: int, per_file: int = 64 << 20, least: int | None = None) -> DataFrame:
+    """df in no more partitions than least (one for every core), or per_file of `about` bytes each: tables
+    that are written have files of a sensible size, however many partitions the step before had. Every
+    file costs a file system calls, and on a local one a process that sets its permissions."""
+    least = df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    return df.coalesce(min((1 << 31) - 1, max(least, about // per_file)))
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, about: int | None = None, least: int | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read back: cuts the lineage, outlives lost
+    executors, and is computed once however often it is used. about: at most so many bytes."""
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if about is None else few_files(df, about, least=least)).write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import byte_batches, free_name, lean, small_batches, utf8, written
+from stratalog.llm.common import byte_batches, free_name, lean, size_of, small_batches, utf8, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -143,12 +143,13 @@ def _signed_batch(rows: list, id_kind: str = "long"):
 
 
 class _Block:
-    """Numbers sets within blocks and yields the rows of full blocks."""
+    """Numbers sets within blocks and yields the rows of full blocks. Blocks are numbered on from a random
+    62-bit number: a task may run several of these, one after another, with one partition number."""
 
     def __init__(self, buckets: int):
-        from pyspark import TaskContext
+        import secrets
 
-        self.buckets, self.block, self.keys, self.held = buckets, TaskContext.get().partitionId() << 24, [], 0
+        self.buckets, self.block, self.keys, self.held = buckets, secrets.randbits(62), [], 0
 
     def add(self, keys) -> tuple[int, int]:
         self.keys.append(keys)
@@ -273,7 +274,7 @@ def _possible(held: DataFrame, percent: int) -> DataFrame:
     return documents.unionByName(rows).groupBy("block").applyInArrow(count, f"set_id long, doc_id {id_kind}, digest long")
 
 
-def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int, size: int) -> DataFrame:
     """(key, set_id): each set's rarest shingles, one more than it can have alone. Shingles are ranked
     by the logarithm of the number of sets that have them, then by hash; two linked sets have one of
     theirs in common. Shingles that no other set has are left out."""
@@ -295,7 +296,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield _signed_batch(out)
         yield from block.rows(last=True)
 
-    held = written(spark, sets.mapInArrow(lean(pack), SIGNED), "rare-keys")
+    held = written(spark, sets.mapInArrow(lean(pack), SIGNED), "rare-keys", size, 3)
     ranked = "block long, members binary, ranks binary, keys binary, first long, rank int"
 
     def rank(table):
@@ -314,7 +315,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(ranked.split(", "), columns, kinds)})
 
     met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(rank, ranked)
-    met = written(spark, met, "ranks")
+    met = written(spark, met, "ranks", size, 3)
     frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members", "first")
     frequent = frequent.join(met.filter("block is null").select("first", "rank"), "first").select("block", "members", F.lit(None).cast("binary").alias("ranks"), F.lit(None).cast("binary").alias("keys"), "first", "rank")
     none = lambda t: F.lit(None).cast(t)
@@ -447,7 +448,7 @@ def local_links(ids, sets, percent: int, sides=None, skip=None) -> list[tuple[in
     return links
 
 
-def _region_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block_shingles: int, spark) -> DataFrame:
+def _region_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int, block_shingles: int, spark, size: int) -> DataFrame:
     """Links (a, b) of the regions in members (pivot, set_id), each region's pivot included."""
     members = members.join(sizes, "set_id")
     regions = members.groupBy("pivot").agg(F.sum("n_shingles").alias("total"))
@@ -483,7 +484,7 @@ def _region_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent
     r = max(100 - percent, 1)
     ring = F.expr(f"greatest(1, cast((100 * differ + whole * {r} - 1) div (whole * {r}) as int))")
     far = far.select("pivot", "set_id", "n_shingles", (union - common).alias("differ"), union.alias("whole")).withColumn("ring", ring).drop("differ", "whole")
-    far = written(spark, far, "rings")
+    far = written(spark, far, "rings", size, 3)
     near_pivot = far.filter((F.col("ring") == 1) & (F.col("set_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
     counts = far.groupBy("pivot", "ring").agg(F.sum("n_shingles").alias("held"))
     blocks = counts.select("pivot", "ring", F.greatest(F.lit(1), F.ceil(F.col("held") * 2 / block_shingles)).cast("int").alias("n"))
@@ -509,13 +510,13 @@ def _region_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent
     return out.unionByName(near_pivot).unionByName(across)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", about: int | None = None) -> DataFrame:
     """(node, root): each node of edges with the smallest node that it is connected with, by
     alternating large-star and small-star rounds. Tables of edges only; nothing goes to the driver
     but a count and a checksum a round."""
     spark = edges.sparkSession
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    now, state = written(spark, now, "edges"), None
+    now, state = written(spark, now, "edges", about, 2), None
     for _ in count():  # each round brings nodes nearer to their roots
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -523,7 +524,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = written(spark, small, "edges")
+        now = written(spark, small, "edges", 8 * size_of(now), least=2)
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -538,23 +539,23 @@ def jaccard_components(
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(_id(docs, doc_id).alias("_id"), F.col(f"`{text}`").alias("_text"))
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # an estimate is enough
-    buckets = max(64, min(1 << 20, int(str(size)) // bucket_bytes))
-    held = written(spark, _signatures(docs, n, percent, buckets), "signatures")
+    size = size_of(docs)
+    buckets = max(64, min(1 << 20, size // bucket_bytes))
+    held = written(spark, _signatures(docs, n, percent, buckets), "signatures", size)
     signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
-    possible = written(spark, _possible(held, percent), "possible")
+    possible = written(spark, _possible(held, percent), "possible", size, 3)
     possible = possible.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
-    sets = written(spark, _shingle_sets(docs, n, possible).dropDuplicates(["set_id"]), "sets")
-    keys = written(spark, _rare_keys(spark, sets, percent, buckets), "keys")
+    sets = written(spark, _shingle_sets(docs, n, possible).dropDuplicates(["set_id"]), "sets", size)
+    keys = written(spark, _rare_keys(spark, sets, percent, buckets, size), "keys", size, 3)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
-    members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members")
+    members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members", size, 3)
     sizes = sets.select("set_id", F.size("shingles").cast("long").alias("n_shingles"))
-    links = _region_links(members, sets, sizes, percent, block_shingles, spark)
+    links = _region_links(members, sets, sizes, percent, block_shingles, spark, size)
     # Rows that share a document id are one document: their classes are connected.
     repeated = signed.filter("set_id is not null and doc_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
     several = repeated.filter("a != b").select("doc_id", "a")
     same = signed.join(several, "doc_id").select("a", F.col("set_id").alias("b")).filter("a != b and b is not null")
-    roots = components(links.unionByName(same))
+    roots = components(links.unionByName(same), about=size)
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))

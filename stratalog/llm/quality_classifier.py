@@ -144,7 +144,7 @@ def fit(
     chosen = bounded_sample(known, "_id", per_class, "_y")  # 2 * per_class rows at most
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).filter("_text is not null")
     one = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))  # an id may come often
-    sample = written(spark, one.select("_y", "_text"), "quality-sample")
+    sample = written(spark, one.select("_y", "_text"), "quality-sample", 0)
 
     def hashed(batches):
         import pyarrow as pa

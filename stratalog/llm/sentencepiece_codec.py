@@ -28,7 +28,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, byte_batches, free_name, without_cycles
+from stratalog.llm.common import added, byte_batches, free_name, lean, small_batches, without_cycles
 
 SPACE = "▁"
 NONE = -2
@@ -274,4 +274,5 @@ def encode_decode(df: DataFrame, model: bytes, text: str = "text", ids: bool = T
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[f.name for f in schema.fields])
         codec.forget()
 
-    return df.mapInArrow(run, schema)
+    small_batches(df.sparkSession)
+    return df.mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import added, byte_batches, free_name, utf8
+from stratalog.llm.common import added, byte_batches, free_name, lean, small_batches, utf8
 
 PRE_TOKEN = re.compile(rb"[\x09-\x0D]+| ?[^\x20\x09-\x0D]+| +")
 
@@ -128,4 +128,5 @@ def count_tokens(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", c
                 names=schema.names,
             )
 
-    return docs.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(lean(run), schema)
