@@ -9,33 +9,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import table, written
+from stratalog.llm.common import few_files, size_of, table, written
 from stratalog.llm.queries import tokenizer_path
 
 #: SQL can't express the trained stages; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
+def _compact(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """What a stage returns, in files of a sensible size."""
+    return few_files(df, size_of(docs))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose score is 0.7 or more; labels of all folds are learned from."""
     from stratalog.llm import toxicity as op
 
     scored = op.score(docs, op.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(F.col(scored.columns[len(docs.columns)]) < 0.7).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _compact(scored.filter(F.col(scored.columns[len(docs.columns)]) < 0.7).select(*(F.col(f"`{c}`") for c in docs.columns)), docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each component of five-word shingle similarities of 0.8 or more."""
     from stratalog.llm.jaccard_join import keep_one
 
-    return keep_one(docs, n=5, percent=80)
+    return _compact(keep_one(docs, n=5, percent=80), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     from stratalog.llm.decontaminate import remove_contaminated
 
-    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10)
+    return _compact(remove_contaminated(docs, table(spark, sf_dir, "benchmark"), window=10), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +52,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text = F.when(F.size(findings) > 0, redact(F.col("text"), findings)).otherwise(F.col("text"))
     n_chars = F.when(F.size(findings) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     new = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
-    return found.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    return _compact(found.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns)), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +61,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     out = encode_decode(docs.select("doc_id", "lang", "source", "text"), read_model(tokenizer_path("piece_bpe_32k.model")))
     same = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", same)
+    return _compact(out.select("doc_id", "lang", "source", "n_tokens", "token_ids", same), docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
