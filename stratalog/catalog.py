@@ -25,16 +25,6 @@ def query(sql: str | None = None):
     return keep
 
 
-def over_all(f, subset: str, **all_rows) -> None:
-    """Registers f once more, as its name with _all: with all_rows, and its SQL without the subset."""
-
-    def whole(spark, sf_dir):
-        return f(spark, sf_dir, **all_rows)
-
-    whole.__name__ = f"{f.__name__}_all"
-    query(_SQL[f.__name__].replace(subset, ""))(whole)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -69,4 +59,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from stratalog.plans import column_queries, line_queries, report_queries, value_queries  # noqa: F401
+    from stratalog.plans import column_queries, encoding_queries, line_queries, report_queries, template_queries, value_queries  # noqa: F401

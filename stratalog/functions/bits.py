@@ -48,32 +48,36 @@ def varints(values: Column) -> Column:
     return F.unhex(F.array_join(F.transform(values, varint_hex), ""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body's lambdas use it: an expression that a
+    lambda refers to is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+NO_LONGS = "cast(array() as array<bigint>)"
+
+
+def _hex_pairs(b: Column) -> Column:
+    """The bytes of a binary column as two hex digits each. Cut by one pass of a pattern: taking the
+    parts of a text by their places is a walk from its start for each."""
+    return F.regexp_extract_all(F.hex(b), F.lit(".."), F.lit(0))
+
+
 def _bytes(b: Column) -> Column:
     """The bytes of a binary column as array<long>."""
-    text = F.hex(b)
-    each = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.octet_length(b), F.lit(1))),
-        lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("long"),
-    )
-    return F.when(F.octet_length(b) > 0, each).otherwise(F.expr("cast(array() as array<bigint>)"))
+    return F.transform(_hex_pairs(b), lambda p: F.conv(p, 16, 10).cast("long"))
 
 
 def unvarints(b: Column) -> Column:
-    """All values of a run of varints."""
-    state = F.struct(
-        F.expr("cast(array() as array<bigint>)").alias("out"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift")
-    )
+    """All values of a run of varints: the bytes in groups that end with one below 128."""
+    groups = F.regexp_extract_all(F.hex(b), F.lit("(?:[89A-F].)*[0-7]."), F.lit(0))
 
-    def step(s: Column, byte: Column) -> Column:
-        value = s["value"].bitwiseOR(F.call_function("shiftleft", byte.bitwiseAND(F.lit(127).cast("long")), s["shift"]))
-        more = byte >= 128
-        return F.struct(
-            F.when(more, s["out"]).otherwise(F.concat(s["out"], F.array(value))).alias("out"),
-            F.when(more, value).otherwise(F.lit(0).cast("long")).alias("value"),
-            F.when(more, s["shift"] + 7).otherwise(F.lit(0)).alias("shift"),
-        )
+    def value(g: Column) -> Column:
+        digits = F.regexp_extract_all(g, F.lit(".."), F.lit(0))
+        seven = lambda p, i: F.call_function("shiftleft", F.conv(p, 16, 10).cast("long").bitwiseAND(F.lit(127).cast("long")), 7 * i)
+        return F.aggregate(F.transform(digits, seven), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
-    return F.aggregate(_bytes(b), state, step, lambda s: s["out"])
+    return F.transform(groups, value)
 
 
 def unvarint(b: Column) -> Column:
@@ -100,39 +104,26 @@ def packed_size(n: Column, bits: Column) -> Column:
 
 
 def pack(values: Column, bits: Column | int) -> Column:
-    """A list of values of `bits` bits each, low bits first, as binary."""
+    """A list of values of `bits` bits each, low bits first, as binary. Built as text of binary digits,
+    the first value last, so that each value is printed once."""
     bits = F.lit(bits) if isinstance(bits, int) else bits
-    size = F.ceil(F.size(values) * bits / 8).cast("int")
-
-    def bit(p: Column) -> Column:
-        at = F.floor(p / bits).cast("int")
-        value = F.coalesce(F.get(values, at), F.lit(0)).cast("long")
-        return F.call_function("shiftrightunsigned", value, (p - at * bits).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-
-    def byte(j: Column) -> Column:
-        whole = F.aggregate(
-            F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("long"), lambda b, k: b.bitwiseOR(F.call_function("shiftleft", bit(j * 8 + k), k))
-        )
-        return F.lpad(F.hex(whole), 2, "0")
-
-    return F.when(size > 0, F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), byte), ""))).otherwise(F.lit(b""))
+    digits = lambda v: F.right(F.lpad(F.bin(F.coalesce(v, F.lit(0)).cast("long")), 64, "0"), bits)
+    whole = F.array_join(F.reverse(F.transform(values, digits)), "")
+    padded = lambda w: F.concat(F.repeat(F.lit("0"), F.pmod(-F.length(w), F.lit(8))), w)
+    octets = lambda w: F.reverse(F.regexp_extract_all(padded(w), F.lit(".{8}"), F.lit(0)))
+    return F.coalesce(F.unhex(F.array_join(F.transform(let(whole, octets), lambda o: F.lpad(F.conv(o, 2, 16), 2, "0")), "")), F.lit(b""))
 
 
 def unpack(b: Column, bits: Column | int, n: Column) -> Column:
-    """n values of `bits` bits each from binary."""
+    """n values of `bits` bits each from binary. The bits are cut by a pattern, two binary digits of
+    text a step, so the work is linear in them."""
     bits = F.lit(bits) if isinstance(bits, int) else bits
-    held = _bytes(b)
-
-    def value(i: Column) -> Column:
-        def step(v: Column, k: Column) -> Column:
-            p = i * bits + k
-            byte = F.coalesce(F.get(held, F.floor(p / 8).cast("int")), F.lit(0).cast("long"))
-            one = F.call_function("shiftrightunsigned", byte, (p % 8).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-            return v.bitwiseOR(F.call_function("shiftleft", one, k))
-
-        return F.aggregate(F.sequence(F.lit(0), bits - 1), F.lit(0).cast("long"), step)
-
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n.cast("int") - 1), value)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    whole = F.array_join(F.reverse(F.transform(_hex_pairs(b), lambda p: F.lpad(F.conv(p, 16, 2), 8, "0"))), "")
+    used = lambda w: F.right(w, (n * bits).cast("int"))
+    cut = lambda w: F.regexp_extract_all(used(w), F.concat(F.lit(".{"), bits.cast("string"), F.lit("}")), F.lit(0))
+    # 64 binary digits in two halves: conv of a negative number would be unsigned
+    signed = lambda d: F.call_function("shiftleft", F.conv(F.left(F.lpad(d, 64, "0"), F.lit(32)), 2, 10).cast("long"), F.lit(32)).bitwiseOR(F.conv(F.right(F.lpad(d, 64, "0"), F.lit(32)), 2, 10).cast("long"))
+    return F.when(n > 0, F.reverse(F.transform(let(whole, cut), signed))).otherwise(F.expr(NO_LONGS))
 
 
 def to_codes(text: Column) -> Column:
@@ -147,29 +138,31 @@ def xor_codes(a: Column, b: Column) -> Column:
 
 
 def zero_runs(codes: Column) -> Column:
-    """Runs of zeros as (0, length up to 255), other codes as they are."""
-    def step(out: Column, c: Column) -> Column:
-        size = F.size(out)
-        run = (size >= 2) & (F.get(out, size - 2) == 0) & (F.get(out, size - 1) < 255) & (c == 0)
-        longer = F.concat(F.slice(out, F.lit(1), size - 1), F.array(F.get(out, size - 1) + 1))
-        return F.when(run, longer).when(c == 0, F.concat(out, F.array(F.lit(0), F.lit(1)))).otherwise(F.concat(out, F.array(c)))
+    """Runs of zeros as (0, length up to 255), other codes as they are. The places where runs of zeros
+    start are found first; each run is then cut by its length."""
+    none = F.expr("cast(array() as array<int>)")
+    starts = lambda c: F.filter(F.transform(c, lambda x, i: F.when((i == 0) | (x != 0) | (F.get(c, i - 1) != 0), i)), lambda i: i.isNotNull())
 
-    return F.aggregate(codes, F.expr("cast(array() as array<int>)"), step)
+    def run(c: Column, at: Column, end: Column) -> Column:
+        size = end - at
+        full = F.floor((size - 1) / 255).cast("int")
+        pairs = F.concat(F.flatten(F.array_repeat(F.array(F.lit(0), F.lit(255)), full)), F.array(F.lit(0), size - 255 * full))
+        return F.when(F.get(c, at) == 0, pairs).otherwise(F.array(F.get(c, at)))
+
+    def folded(c: Column) -> Column:
+        return let(starts(c), lambda s: F.flatten(F.transform(s, lambda at, k: run(c, at, F.coalesce(F.get(s, k + 1), F.size(c))))))
+
+    return F.when(codes.isNotNull(), F.when(F.size(codes) > 0, let(codes, folded)).otherwise(none))
 
 
 def unzero_runs(runs: Column) -> Column:
-    state = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(False).alias("open"))
-
-    def step(s: Column, c: Column) -> Column:
-        return F.struct(
-            F.when(s["open"], F.concat(s["out"], F.array_repeat(F.lit(0), c)))
-            .when(c == 0, s["out"])
-            .otherwise(F.concat(s["out"], F.array(c)))
-            .alias("out"),
-            (~s["open"] & (c == 0)).alias("open"),
-        )
-
-    return F.aggregate(runs, state, step, lambda s: s["out"])
+    """The inverse: a run's length is what follows a zero, since lengths are over 0."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def opened(r: Column) -> Column:
+        return F.flatten(F.transform(r, lambda x, i: F.when((i > 0) & (F.get(r, i - 1) == 0), F.array_repeat(F.lit(0), x)).when(x == 0, none).otherwise(F.array(x))))
+
+    return F.when(runs.isNotNull(), F.when(F.size(runs) > 0, let(runs, opened)).otherwise(none))
 
 
 def escape(text: Column) -> Column:

@@ -232,6 +232,34 @@ def typed_value(type_: Column, value: Column) -> Column:
     return F.try_parse_json(F.when(type_ == "string", F.to_json(F.struct(value.alias("v")))).otherwise(F.concat(F.lit('{"v":'), F.coalesce(value, F.lit("null")), F.lit("}"))))
 
 
+def nested_table(cells: DataFrame, keys: list[str], order: str = "line_no", line: str = "value") -> DataFrame:
+    """The objects among cells (leaves that a depth limit kept whole) as tables of their own: keys, key,
+    order and leaves of their members, to any depth, and mask: 3 for an empty object, else 2."""
+    inner = flatten_lines(cells.filter(F.col("type").isin("object", "empty_object")).select(*keys, "key", order, line), line)
+    return inner.withColumn("mask", F.when(F.col(line) == "{}", 3).otherwise(2)).drop(line)
+
+
+def nested_cells(nested: DataFrame, outer: DataFrame, keys: list[str], order: str = "line_no") -> DataFrame:
+    """Long form of nested_table over all rows of outer (keys, order): member, value and its two-bit mask:
+    0 the object or the member is absent, 1 null, 2 a value, 3 an empty object or array."""
+    long = nested.select(*keys, "key", order, F.posexplode("leaves").alias("position", "leaf"))
+    long = long.select(*keys, "key", order, F.array_join("leaf.path", ".").alias("member"), F.col("leaf.type").alias("type"), F.col("leaf.value").alias("value"))
+    spine = outer.select(*keys, order).join(long.select(*keys, "key", "member").distinct(), keys)
+    out = spine.join(long, [*keys, "key", order, "member"], "left")
+    mask = F.when(F.col("type").isNull(), 0).when(F.col("type") == "null", 1).when(F.col("type").isin("empty_object", "empty_array"), 3).otherwise(2)
+    return out.withColumn("mask", mask).drop("type")
+
+
+def sparse_columns(cells: DataFrame, rows: DataFrame, keys: list[str], order: str = "line_no", over: float = 0.5) -> DataFrame:
+    """keys, key, order, step, type and value of the keys that over half of a chunk's rows don't have; the
+    step is the distance from the row with the key before, as in columns.sparse_encode."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    held = cells.groupBy(*keys, "key").agg(F.count_distinct(order).alias("_held")).join(n, keys).filter(F.col("_held") < (1 - over) * F.col("_n"))
+    before = F.lag(order).over(W.partitionBy(*keys, "key").orderBy(order))
+    out = cells.join(held.select(*keys, "key", "_first"), [*keys, "key"])
+    return out.select(*keys, "key", order, (F.col(order) - F.coalesce(before, F.col("_first") - 1)).alias("step"), "type", "value")
+
+
 def json_field(text: Column, path: str) -> Column:
     return F.get_json_object(text, path)
 

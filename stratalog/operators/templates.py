@@ -9,6 +9,9 @@ default) are mined in parallel and their templates merged afterwards."""
 
 from __future__ import annotations
 
+import re
+from operator import eq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +31,7 @@ def split_spaces(line: Column) -> Column:
 
 
 def join_spaces(words: Column, gaps: Column) -> Column:
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(words, i), F.lit("")))), "")
+    return F.array_join(F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
 def canonical_gaps(n_tokens: Column) -> Column:
@@ -93,9 +96,9 @@ def token_variables(line: Column) -> Column:
 
 
 def fill(template: Column, variables: Column) -> Column:
-    """A template's wildcards filled with the variables in order."""
-    parts = F.split(template, r"<\*>", -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(variables, i), F.lit("")))), "")
+    """A template's wildcards, words of their own, filled with the variables in order."""
+    parts = F.split(template, r"(?<![^ ])<\*>(?![^ ])", -1)
+    return F.array_join(F.zip_with(parts, F.coalesce(variables, F.expr("cast(array() as array<string>)")), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
 
 
 def exact_match_mine(lines: DataFrame, keys: list[str], most: int = 1000) -> DataFrame:
@@ -115,27 +118,27 @@ def exact_match_mine(lines: DataFrame, keys: list[str], most: int = 1000) -> Dat
 
 def restore_line(template: Column, variables: Column, gaps: Column, raw: Column) -> Column:
     """The line again, from exact_match_mine's columns."""
-    words = F.transform(F.split(template, " ", -1), lambda t: t)
-    state = F.struct(F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("out"))
+    filled = fill(template, variables)  # variables hold no white space, so the words can be cut again
+    return F.coalesce(raw, F.when(gaps.isNull(), filled).otherwise(join_spaces(F.split(filled, " ", -1), gaps)))
+
 
-    def step(s: Column, t: Column) -> Column:
-        hole = t == WILDCARD
-        return F.struct((s["n"] + hole.cast("int")).alias("n"), F.concat(s["out"], F.array(F.when(hole, F.get(variables, s["n"])).otherwise(t))).alias("out"))
+_WORDS = re.compile(WORD)
 
-    filled = F.aggregate(words, state, step, lambda s: s["out"])
-    return F.coalesce(raw, F.when(gaps.isNull(), F.array_join(filled, " ")).otherwise(join_spaces(filled, gaps)))
+
+def words_of(line: str | None) -> list[str]:
+    """tokens() of one line."""
+    return _WORDS.findall(line) if line else []
 
 
 class Miner:
     """The clusters of one scope. add(words) gives (cluster, is_new), or None over the cap."""
 
     def __init__(self, similarity: float = SIMILARITY, most: int = MAX_CLUSTERS):
-        import re
-
         self.similarity, self.most = similarity, most
         self.tests = [re.compile(p) for p in VARIABLE_TOKENS.values()]
         self.known: dict[str, bool] = {}
-        self.clusters: list[list] = []  # words, WILDCARD-like None for variables
+        self.clusters: list[list] = []  # words, None for variables
+        self.literal: list[int] = []  # how many words aren't None
         self.groups: dict[tuple, list[int]] = {}
 
     def variable(self, word: str) -> bool:
@@ -150,49 +153,53 @@ class Miner:
         if not words:
             return None
         key = (None if self.variable(words[0]) else words[0], len(words))
-        own = self.groups.setdefault(key, [])
+        own, least = self.groups.setdefault(key, []), self.similarity * len(words)
         for k in own:
             cluster = self.clusters[k]
-            same = sum(a == b for a, b in zip(cluster, words))
-            if same >= self.similarity * len(words):
-                self.clusters[k] = [a if a == b else None for a, b in zip(cluster, words)]
+            same = sum(map(eq, cluster, words))
+            if same >= least:
+                if same < self.literal[k]:
+                    self.clusters[k] = [a if a == b else None for a, b in zip(cluster, words)]
+                    self.literal[k] = same
                 return k
         if len(self.clusters) >= self.most:
             return None
         self.clusters.append([None if self.variable(w) else w for w in words])
+        self.literal.append(len(words) - self.clusters[-1].count(None))
         own.append(len(self.clusters) - 1)
         return len(self.clusters) - 1
 
 
-def mine(lines: DataFrame, scope: list[str] | None = None, similarity: float = SIMILARITY, most: int = MAX_CLUSTERS) -> DataFrame:
+def mine(lines: DataFrame, scope: list[str] | None = None, similarity: float = SIMILARITY, most: int = MAX_CLUSTERS, line: bool = False) -> DataFrame:
     """scope, line_no and cluster (null for blank lines and over the cap) and, on one row a cluster,
-    its final words in `pattern` (null otherwise)."""
+    its final words in `pattern` (null otherwise); with line, the lines as well."""
     from pyspark.sql import types as T
 
     scope = ["stream_id", "chunk_id"] if scope is None else scope
     fields = [lines.schema[c] for c in scope]
-    schema = T.StructType([*fields, T.StructField("line_no", T.LongType()), T.StructField("cluster", T.IntegerType()), T.StructField("pattern", T.ArrayType(T.StringType()))])
-    rows = lines.select(*scope, "line_no", tokens(F.col("line")).alias("words"))
+    text = [T.StructField("line", T.StringType())] if line else []
+    schema = T.StructType([*fields, T.StructField("line_no", T.LongType()), T.StructField("cluster", T.IntegerType()), T.StructField("pattern", T.ArrayType(T.StringType())), *text])
+    rows = lines.select(*scope, "line_no", "line")
     rows = rows.repartition(*scope).sortWithinPartitions(*scope, "line_no")
 
     def run(batches):
         import pyarrow as pa
 
         kinds = [pa.field(f.name, batch_type(f.dataType)) for f in fields]
-        out_schema = pa.schema([*kinds, ("line_no", pa.int64()), ("cluster", pa.int32()), ("pattern", pa.list_(pa.string()))])
+        out_schema = pa.schema([*kinds, ("line_no", pa.int64()), ("cluster", pa.int32()), ("pattern", pa.list_(pa.string())), *([("line", pa.string())] if line else [])])
         now, miner = None, None
 
         def patterns():
-            return [(*now, None, k, ["<*>" if w is None else w for w in c]) for k, c in enumerate(miner.clusters)] if miner else []
+            return [(*now, None, k, ["<*>" if w is None else w for w in c], *([None] if line else [])) for k, c in enumerate(miner.clusters)] if miner else []
 
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in (*scope, "line_no", "words"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in (*scope, "line_no", "line"))):
                 key = row[:-2]
                 if key != now or miner is None:
                     out += patterns()
                     now, miner = key, Miner(similarity, most)
-                out.append((*key, row[-2], miner.add(row[-1]), None))
+                out.append((*key, row[-2], miner.add(words_of(row[-1])), None, *([row[-1]] if line else [])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
         last = patterns()
         if last:
@@ -207,21 +214,19 @@ def mine(lines: DataFrame, scope: list[str] | None = None, similarity: float = S
 
 
 def templates_of(mined: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, cluster, template, n_variables, template_id: ids by template text over all scopes, in
-    the order of the texts."""
+    """scope, cluster, template, n_variables, template_id: the id is a hash of the template's text, so
+    equal templates of all scopes and batches have equal ids without being collected or ranked."""
     found = mined.filter("pattern is not null").select(*scope, "cluster", F.array_join("pattern", " ").alias("template"), F.size(F.filter("pattern", lambda w: w == WILDCARD)).alias("n_variables"))
-    ids = found.select("template").distinct().select("template", F.xxhash64("template").alias("template_id"))
-    return found.join(ids, "template")
+    return found.withColumn("template_id", F.xxhash64("template"))
 
 
 def encode_text(lines: DataFrame, scope: list[str] | None = None, similarity: float = SIMILARITY, most: int = MAX_CLUSTERS) -> tuple[DataFrame, DataFrame]:
     """(rows, templates): rows are scope, line_no, cluster, variables, gaps and raw. Variables come
     from the final template of a line's cluster; a line that the template doesn't give back is raw."""
     scope = ["stream_id", "chunk_id"] if scope is None else scope
-    mined = mine(lines, scope, similarity, most)
+    mined = mine(lines, scope, similarity, most, line=True)
     templates = templates_of(mined, scope)
-    places = mined.filter("line_no is not null").select(*scope, "line_no", "cluster")
-    rows = lines.join(places, [*scope, "line_no"]).join(templates.select(*scope, "cluster", "template", "template_id"), [*scope, "cluster"], "left")
+    rows = mined.filter("line_no is not null").select(*scope, "line_no", "line", "cluster").join(templates.select(*scope, "cluster", "template", "template_id"), [*scope, "cluster"], "left")
     parts = split_spaces(F.col("line"))
     rows = rows.withColumn("_w", parts).withColumn("_t", F.split("template", " ", -1))
     fits = F.col("template").isNotNull() & (F.size("_t") == F.size("_w.tokens"))

@@ -116,23 +116,24 @@ def ipv4_xor_delta(spark, sf_dir):
     return c.ipv4_decode(rows).select("event_id", "offset", "xor", "xor_bytes", "decoded")
 
 
-URLS = """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages),
-s AS (SELECT page_id, unnest(generate_series(0, len(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/')) - 1)) AS position,
+URLS = """WITH p AS (SELECT page_id, page_id // 1000 AS k, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages),
+s AS (SELECT page_id, k, unnest(generate_series(0, len(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/')) - 1)) AS position,
   unnest(string_split(regexp_replace(path, '^/|/$', '', 'g'), '/')) AS segment FROM p WHERE path <> '' AND path <> '/')
 """
 
 
 def url_paths(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.lit(0).alias("k"), "page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
+    """Paths of pages; vocabularies are those of a chunk of pages, so no window is over a whole table."""
+    rows = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 1000).alias("k"), "page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"))
     return rows.filter("path <> '' and path <> '/'")
 
 
-@query(URLS + "SELECT page_id, position, segment, dense_rank() OVER (PARTITION BY position ORDER BY segment) - 1 AS code FROM s")
+@query(URLS + "SELECT page_id, position, segment, dense_rank() OVER (PARTITION BY k, position ORDER BY segment) - 1 AS code FROM s")
 def path_columns(spark, sf_dir):
     return c.path_encode(url_paths(spark, sf_dir), ["k"], "page_id", "path").select("page_id", F.col("position").cast("long").alias("position"), "segment", "code")
 
 
-@query(URLS + "SELECT page_id, position, segment, dense_rank() OVER (ORDER BY segment) - 1 AS code FROM s")
+@query(URLS + "SELECT page_id, position, segment, dense_rank() OVER (PARTITION BY k ORDER BY segment) - 1 AS code FROM s")
 def path_shared_dictionary(spark, sf_dir):
     return c.path_encode(url_paths(spark, sf_dir), ["k"], "page_id", "path", shared=True).select("page_id", F.col("position").cast("long").alias("position"), "segment", "code")
 

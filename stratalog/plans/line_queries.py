@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, over_all, query, table
+from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
 from stratalog.operators import json_lines as j
 from stratalog.operators import parse, similar, templates
 from stratalog.plans import codec
@@ -195,15 +195,6 @@ def template_dictionary(spark, sf_dir):
     return parse.template_ids(rows, ["stream_id"]).withColumn("template_id", F.col("template_id").cast("long"))
 
 
-@query(
-    """WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[^A-Za-z0-9_<])([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})', 2)) AS v FROM documents)
-SELECT 'IP' AS type, count(*) AS n_values, count(DISTINCT v) AS n_distinct, sum(strlen(v))::BIGINT AS bytes FROM l"""
-)
-def variable_streams(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select(F.lit(0).alias("k"), parse.typed_variables(F.col("text")).alias("variables"))
-    return parse.variables_by_type(rows, ["k"]).filter("type = 'IP'").drop("k")
-
-
 @query(LINES + "SELECT stream_id, line_no, line AS restored FROM lines")
 def whitespace_roundtrip(spark, sf_dir):
     """Lines with their single spaces widened by place, marked, restored, and narrowed again."""
@@ -228,10 +219,9 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", j.json_field(text, "$.k").cast("long").alias("k"), j.separators(text).alias("style"), parse.json_depth(text).alias("depth"))
 
 
-def nested_lines(spark, sf_dir, below=None):
-    """JSON lines of optional and nested members, keys in two orders; of events with ids under below, or all."""
+def nested_lines(spark, sf_dir):
+    """JSON lines of optional and nested members, keys in two orders, made from events."""
     rows = table(spark, sf_dir, "events")
-    rows = rows if below is None else rows.filter(F.col("event_id") < below)
     first = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "user": {"name": "u'), F.col("user_id").cast("string"), F.lit('", "tags": ["a", 1, null]}, "v": 1.50'))
     extra = F.when(F.col("event_id") % 3 == 0, ', "x.y": null').otherwise("")
     second = F.concat(F.lit('{"v": -0, "ok": true, "empty": {}, "id": '), F.col("event_id").cast("string"), F.lit("}"))
@@ -241,13 +231,13 @@ def nested_lines(spark, sf_dir, below=None):
 
 NESTED = """WITH lines AS (SELECT 's' AS stream_id, event_id // 500 AS chunk_id, event_id AS line_no, event_id % 5 = 0 AS second, event_id % 3 = 0 AS extra,
   CASE WHEN event_id % 5 = 0 THEN '{"v": -0, "ok": true, "empty": {}, "id": ' || event_id || '}'
-  ELSE '{"id": ' || event_id || ', "user": {"name": "u' || user_id || '", "tags": ["a", 1, null]}, "v": 1.50' || CASE WHEN event_id % 3 = 0 THEN ', "x.y": null' ELSE '' END || '}' END AS line, user_id FROM events WHERE event_id < 2000)
+  ELSE '{"id": ' || event_id || ', "user": {"name": "u' || user_id || '", "tags": ["a", 1, null]}, "v": 1.50' || CASE WHEN event_id % 3 = 0 THEN ', "x.y": null' ELSE '' END || '}' END AS line, user_id FROM events)
 """
 
 
 @query(NESTED + "SELECT line_no, line AS restored, CASE WHEN second THEN 4 WHEN extra THEN 5 ELSE 4 END AS n_leaves FROM lines")
-def json_flatten_roundtrip(spark, sf_dir, below=2000):
-    rows = j.flatten_lines(nested_lines(spark, sf_dir, below))
+def json_flatten_roundtrip(spark, sf_dir):
+    rows = j.flatten_lines(nested_lines(spark, sf_dir))
     return j.unflatten_lines(rows).select("line_no", F.col("line").alias("restored"), F.size("leaves").cast("long").alias("n_leaves"))
 
 
@@ -257,8 +247,8 @@ def json_flatten_roundtrip(spark, sf_dir, below=2000):
   unnest(CASE WHEN second THEN [0, 1, 2, 3] WHEN extra THEN [0, 1, 2, 3, 4] ELSE [0, 1, 2, 3] END) AS position FROM lines), f AS (SELECT chunk_id, key, min(line_no * 100 + position) AS p FROM c GROUP BY ALL)
 SELECT chunk_id, key, row_number() OVER (PARTITION BY chunk_id ORDER BY p) - 1 AS key_id FROM f"""
 )
-def json_key_table(spark, sf_dir, below=2000):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
+def json_key_table(spark, sf_dir):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
     return j.key_table(cells, ["chunk_id"]).withColumn("key_id", F.col("key_id").cast("long"))
 
 
@@ -267,8 +257,8 @@ def json_key_table(spark, sf_dir, below=2000):
     + """, o AS (SELECT chunk_id, line_no, CASE WHEN second THEN 'b' WHEN extra THEN 'c' ELSE 'a' END AS shape FROM lines)
 SELECT chunk_id, line_no, dense_rank() OVER (PARTITION BY chunk_id ORDER BY f) - 1 AS order_id FROM (SELECT *, min(line_no) OVER (PARTITION BY chunk_id, shape) AS f FROM o)"""
 )
-def json_key_orders(spark, sf_dir, below=2000):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
+def json_key_orders(spark, sf_dir):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
     return j.key_orders(cells, j.key_table(cells, ["chunk_id"]), ["chunk_id"]).select("chunk_id", "line_no", F.col("order_id").cast("long").alias("order_id"))
 
 
@@ -277,8 +267,8 @@ def json_key_orders(spark, sf_dir, below=2000):
     + """, k AS (SELECT unnest(['id', 'user.name', 'user.tags', 'v', 'x.y', 'ok', 'empty']) AS key)
 SELECT line_no, key, CASE WHEN key IN ('id', 'v') THEN 2 WHEN key IN ('user.name', 'user.tags') THEN CASE WHEN second THEN 0 ELSE 2 END WHEN key = 'x.y' THEN CASE WHEN extra AND NOT second THEN 1 ELSE 0 END ELSE CASE WHEN second THEN 2 ELSE 0 END END AS presence FROM lines, k"""
 )
-def json_presence(spark, sf_dir, below=2000):
-    rows = j.flatten_lines(nested_lines(spark, sf_dir, below))
+def json_presence(spark, sf_dir):
+    rows = j.flatten_lines(nested_lines(spark, sf_dir))
     cells = j.leaf_cells(rows, ["chunk_id", "line_no"])
     return j.with_absent(cells, rows, j.key_table(cells, ["chunk_id"]), ["chunk_id"]).select("line_no", "key", "presence")
 
@@ -291,8 +281,8 @@ UNION ALL SELECT chunk_id, 'user.name', n - s, 0, 0, n - s, 0, u, 'DICTIONARY' F
 UNION ALL SELECT chunk_id, 'v', n, s, n - s, 0, 0, 0, 'RAW' FROM n UNION ALL SELECT chunk_id, 'x.y', x, 0, 0, 0, x, 0, 'RAW' FROM n
 UNION ALL SELECT chunk_id, 'ok', s, 0, 0, 0, 0, 0, 'RAW' FROM n UNION ALL SELECT chunk_id, 'empty', s, 0, 0, 0, 0, 0, 'RAW' FROM n"""
 )
-def json_key_statistics(spark, sf_dir, below=2000):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
+def json_key_statistics(spark, sf_dir):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
     return j.key_statistics(cells, ["chunk_id"]).select("chunk_id", "key", "n", "n_integer", "n_float", "n_string", "n_null", "n_distinct", "hint")
 
 
@@ -301,27 +291,17 @@ def json_key_statistics(spark, sf_dir, below=2000):
     + """, c AS (SELECT chunk_id, 'u' || user_id AS value, count(*) AS n FROM lines WHERE NOT second GROUP BY ALL)
 SELECT chunk_id, value, row_number() OVER (PARTITION BY chunk_id ORDER BY n DESC, value) - 1 AS code FROM c"""
 )
-def json_value_dictionary(spark, sf_dir, below=2000):
-    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir, below)), ["chunk_id", "line_no"])
+def json_value_dictionary(spark, sf_dir):
+    cells = j.leaf_cells(j.flatten_lines(nested_lines(spark, sf_dir)), ["chunk_id", "line_no"])
     return j.value_dictionary(cells, ["chunk_id"]).select("chunk_id", "value", F.col("code").cast("long").alias("code"))
 
 
-for _f in (json_flatten_roundtrip, json_key_table, json_key_orders, json_presence, json_key_statistics, json_value_dictionary):
-    over_all(_f, " WHERE event_id < 2000", below=None)
-
-
 def document_chunks(spark, sf_dir):
     """All documents' lines as ten streams in chunks, in the order of documents and lines."""
     rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
     return rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), F.floor(F.col("doc") / 500).alias("chunk_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
 
 
-@query()
-def drain_templates(spark, sf_dir):
-    found = templates.templates_of(templates.mine(document_chunks(spark, sf_dir)), ["stream_id", "chunk_id"])
-    return found.select("stream_id", "chunk_id", "cluster", "template", "n_variables")
-
-
 @query("WITH l AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS n, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT 's' || doc_id % 10 AS stream_id, doc_id * 100000 + n AS line_no, line FROM l")
 def drain_roundtrip(spark, sf_dir):
     rows, found = templates.encode_text(document_chunks(spark, sf_dir))
@@ -360,19 +340,6 @@ def spread_events(spark, sf_dir):
     return chunked_events(spark, sf_dir).select(F.floor(F.col("event_id") / 500).alias("chunk_id"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
-@query()
-def xor_window(spark, sf_dir):
-    rows = similar.xor_lines(similar.reference_lines(spread_events(spark, sf_dir), ["chunk_id"]))
-    back = similar.unxor(F.col("xor"), F.col("reference_line"), F.length("line"))
-    return rows.select("line_no", "reference", "similarity", F.size("xor_runs").alias("n_runs"), F.when(F.col("reference").isNotNull(), back).otherwise(F.col("line")).alias("restored"))
-
-
-@query()
-def xor_bucket_window(spark, sf_dir):
-    rows = similar.bucketed_reference_lines(spread_events(spark, sf_dir), ["chunk_id"])
-    return rows.select("line_no", "reference", "similarity")
-
-
 @query(EVENTS + "SELECT event_id, event_type AS restored FROM e")
 def consecutive_xor(spark, sf_dir):
     from pyspark.sql import Window as W
@@ -380,12 +347,3 @@ def consecutive_xor(spark, sf_dir):
     rows = similar.consecutive_xor(chunked_events(spark, sf_dir), ["chunk_id"], "event_id", "event_type")
     before = F.coalesce(F.lag("event_type").over(W.partitionBy("chunk_id").orderBy("event_id")), F.lit(""))
     return rows.withColumn("_b", before).select("event_id", similar.unxor(F.col("xor"), F.col("_b"), F.length("event_type")).alias("restored"))
-
-
-@query(
-    """WITH h AS (SELECT unnest(regexp_extract_all(url, '^https?://[^/]+(/[^?#]*)', 1)) AS path FROM pages), t AS (SELECT regexp_replace(regexp_replace(path, '[0-9]+', '<N>', 'g'), '^/[A-Za-z_-]+(/|$)', '/<S>\\1') AS template FROM h WHERE regexp_matches(path, '^/[A-Za-z_-]+/[0-9]+$')),
-c AS (SELECT template, count(*) AS n FROM t GROUP BY 1) SELECT CASE WHEN n / (SELECT sum(n) FROM c) >= 0.8 THEN template END AS template, n / (SELECT sum(n) FROM c) AS share FROM c ORDER BY n DESC, template DESC LIMIT 1"""
-)
-def endpoint_template(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select(F.lit(0).alias("k"), F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path")).filter(F.col("path").rlike("^/[A-Za-z_-]+/[0-9]+$"))
-    return templates.endpoint_template(rows, ["k"], "path").drop("k")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, over_all, query, table
+from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
 from stratalog.operators import select
 from stratalog.plans import codec
 from stratalog.sources import lines as source
@@ -98,21 +98,17 @@ def verify_roundtrip(spark, sf_dir):
     return codec.verify(rows, codec.encode(rows, 0, 5_000_000)).select("stream_id", "n", "n_different", "lossless")
 
 
-@query(EVENTS + "SELECT event_id, true AS same, CASE WHEN event_id % 10 = 0 THEN '[[\"k\"], ' || (props->>'$.k') || ']' END AS difference FROM e WHERE event_id < 1000")
-def json_semantic_verify(spark, sf_dir, below=1000):
+@query(EVENTS + "SELECT event_id, true AS same, CASE WHEN event_id % 10 = 0 THEN '[[\"k\"], ' || (props->>'$.k') || ']' END AS difference FROM e")
+def json_semantic_verify(spark, sf_dir):
     props = F.col("props")
     spelled = F.concat(F.lit('{ "z":1, "k":'), F.get_json_object(props, "$.k"), F.lit("}"))
     swapped = F.concat(F.lit('{"k":  '), F.get_json_object(props, "$.k"), F.lit(', "z": 1}'))
     other = F.when(F.col("event_id") % 10 == 0, "{}").otherwise(props)
     rows = table(spark, sf_dir, "events")
-    rows = rows if below is None else rows.filter(F.col("event_id") < below)
     both = F.when(F.col("event_id") % 10 == 0, F.get(F.array_sort(F.filter(F.concat(F.array_except(select.json_leaves(props), select.json_leaves(other))), lambda x: x != "[[], {}]")), F.lit(0)))
     return rows.select("event_id", select.same_json(spelled, swapped).alias("same"), both.alias("difference"))
 
 
-over_all(json_semantic_verify, " WHERE event_id < 1000", below=None)
-
-
 @query()
 def method_choice(spark, sf_dir):
     """raw lines or encoded columns, whichever is smaller and lossless, for ten streams of lines."""
@@ -125,7 +121,7 @@ def method_choice(spark, sf_dir):
 def zstd_sizes(spark, sf_dir):
     """Bytes of raw chunks and of their zstd frames."""
     rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
-    rows = rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100 + F.least(F.col("line_no"), F.lit(99))).alias("line_no"), "line")
+    rows = rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
     return codec.chunk_frames(rows).select("stream_id", "chunk_id", "n_lines", "chunk_type", "raw_bytes", "frame_bytes")
 
 
@@ -145,42 +141,68 @@ def sessionize(spark, sf_dir):
     return rows.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("us").alias("started"), F.max("us").alias("ended"))
 
 
-@query("""SELECT count(*) AS n, count(DISTINCT line) AS n_distinct, sum(strlen(line))::BIGINT AS bytes FROM (SELECT doc_id::VARCHAR AS line FROM documents WHERE doc_id < 100)""")
-def file_roundtrip(spark, sf_dir):
-    """Lines written as text files and read back with their numbers."""
+def scratch(spark, name):
+    """A new folder where driver and executors both write."""
     import tempfile
+    import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lines-')}"
-    path = f"{folder.rstrip('/')}/file-roundtrip-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    rows = table(spark, sf_dir, "documents").filter("doc_id < 100").select(F.lit("a").alias("stream_id"), F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("line"))
-    rows.orderBy("line_no").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-    back = source.read_lines(spark, f"{path}/*.txt")
-    return back.agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"), F.sum(F.octet_length("line")).alias("bytes"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='lines-')}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query(LINES + "SELECT count(*) AS n, count(DISTINCT line) AS n_distinct, sum(strlen(line))::BIGINT AS bytes FROM lines")
-def file_roundtrip_all(spark, sf_dir):
+def file_roundtrip(spark, sf_dir):
     """All lines of all documents written as text files and read back by the splittable reader."""
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lines-')}"
-    path = f"{folder.rstrip('/')}/file-roundtrip-all-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
-    document_lines(spark, sf_dir).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-    back = source.read_large_lines(spark, f"{path}/*.txt")
+    path = scratch(spark, "file-roundtrip")
+    document_lines(spark, sf_dir).select(F.col("line").alias("value")).write.text(path)
+    back = source.read_large_lines(spark, path)
     return back.agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_distinct"), F.sum(F.octet_length("line")).alias("bytes"))
 
 
-@query("SELECT stream_id, count(*) AS n, count(DISTINCT line_no) AS n_distinct FROM (SELECT 'json' AS stream_id, unnest(generate_series(0, 999)) AS line_no UNION ALL SELECT 'blocks', unnest(generate_series(0, 999))) GROUP BY 1")
-def generators(spark, sf_dir, size=(1000,)):
-    """Synthetic logs, and that all of them parse as what they are."""
-    from stratalog.operators import parse
+@query("SELECT event_type AS stream_id, count(*) AS n_lines, sum(strlen(props) + 1)::BIGINT AS n_bytes, true AS final_newline FROM events GROUP BY 1")
+def stream_files(spark, sf_dir):
+    """One folder of files a stream, with its lines, bytes and last line ends as they are on disk."""
+    path = scratch(spark, "stream-files")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("line_no"), F.col("props").alias("line"))
+    source.write_lines(rows, path)
+    files = source.read_streams(spark, f"{path}/*").withColumn("stream_id", F.regexp_extract("stream_id", "stream_id=([^/]*)/", 1))
+    return files.filter("n_bytes > 0").groupBy("stream_id").agg(F.sum("n_lines").alias("n_lines"), F.sum("n_bytes").alias("n_bytes"), F.min("final_newline").alias("final_newline"))
 
-    made = source.made_json_lines(spark, *size).filter(parse.is_json(F.col("line")))
-    blocks = source.made_block_lines(spark, *size).filter(parse.parse_block_log(F.col("line")).isNotNull())
-    return made.unionByName(blocks).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("n_distinct"))
+
+@query("SELECT unnest(['event_id', 'event_type', 'user_id']) AS field, count(*) AS n, unnest([count(DISTINCT event_id), count(DISTINCT event_type), count(DISTINCT user_id)]) AS n_distinct FROM events")
+def field_files(spark, sf_dir):
+    """Each column as text files of its own, read back by column."""
+    path = scratch(spark, "field-files")
+    source.write_fields(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), path)
+    return spark.read.text(path).groupBy("field").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"))
+
+
+@query("SELECT event_type AS name, count(*) AS n_lines, sum(strlen(props) + 1)::BIGINT AS n_bytes, CASE WHEN count(*) > 1000 THEN 1 + (count(*) + 8999) // 10000 ELSE 1 END AS n_chunks, true AS lossless FROM events GROUP BY 1")
+def compressed_files(spark, sf_dir):
+    """Files compressed to a folder and restored by chunk: their lines, bytes and chunks, and whether
+    every line came back."""
+    from stratalog.functions.bits import to_latin1
+
+    path = scratch(spark, "compressed-files")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream_id"), F.col("event_id").alias("line_no"), F.col("props").alias("line"))
+    source.write_lines(rows, f"{path}/in")
+    codec.compress(spark, f"{path}/in/*", f"{path}/out")
+    name = F.regexp_extract("stream_id", "stream_id=([^/]*)/", 1).alias("name")
+    back = codec.decompress(spark, f"{path}/out").select(name, "chunk_id", "content")
+    sizes = back.groupBy("name").agg(F.sum(F.octet_length("content")).alias("n_bytes"), F.count("*").alias("n_chunks"), F.sum(F.regexp_count(to_latin1(F.col("content")), F.lit("\n"))).alias("n_lines"))
+    checked = codec.verify(source.read_lines(spark, f"{path}/in/*"), codec.load(spark, f"{path}/out")).select(name, "lossless")
+    return sizes.join(checked, "name").select("name", "n_lines", "n_bytes", "n_chunks", "lossless")
 
 
 @query("SELECT stream_id, count(*) AS n, count(DISTINCT line_no) AS n_distinct FROM (SELECT 'json' AS stream_id, unnest(generate_series(0, 99999)) AS line_no UNION ALL SELECT 'blocks', unnest(generate_series(0, 99999))) GROUP BY 1")
-def generators_all(spark, sf_dir):
-    """The same at the generators' own size."""
-    return generators(spark, sf_dir, ())
+def generators(spark, sf_dir):
+    """Synthetic logs at the generators' own size, and that all of them parse as what they are."""
+    from stratalog.operators import parse
+
+    made = source.made_json_lines(spark).filter(parse.is_json(F.col("line")))
+    blocks = source.made_block_lines(spark).filter(parse.parse_block_log(F.col("line")).isNotNull())
+    return made.unionByName(blocks).groupBy("stream_id").agg(F.count("*").alias("n"), F.count_distinct("line_no").alias("n_distinct"))

@@ -5,36 +5,55 @@ order partitions by stream_id and chunk_id, so no window ever spans a whole tabl
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalog.functions.bits import let
+
 FIRST_CHUNK, CHUNK = 1000, 10_000
 
 
-def read_lines(spark: SparkSession, path: str, whole_file_bytes: int = 64 << 20) -> DataFrame:
-    """Every byte of every file under path as lines (Latin-1 view, one character a byte), with
-    stream_id (the file), line_no, and final_newline of the stream. Files are read whole; one of more
-    than whole_file_bytes is an error, read_large_lines reads those."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
-    too_large = F.raise_error(F.concat(F.lit("too large to be read whole, use read_large_lines: "), F.col("path"))).cast("binary")
-    text = F.decode(F.when(F.col("length") > whole_file_bytes, too_large).otherwise(F.col("content")), "ISO-8859-1")
-    ended = F.endswith("_text", F.lit("\n"))
-    body = F.when(F.col("final_newline"), F.expr("left(_text, length(_text) - 1)")).otherwise(F.col("_text"))
-    files = files.select(F.col("path").alias("stream_id"), text.alias("_text")).withColumn("final_newline", ended)
-    rows = files.withColumn("_lines", F.when(F.length("_text") > 0, F.split(body, "\n", -1)).otherwise(F.expr("cast(array() as array<string>)")))
-    return rows.select("stream_id", "final_newline", F.posexplode("_lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every byte of every file under path as lines (Latin-1 view, one character a byte), with stream_id
+    (the file) and line_no. Files of any size, by Spark's splittable text reader. line_no comes from the
+    offsets of the splits: one pass counts lines per split, a second numbers them, with the counts (one
+    row a split) in between. Empty files have no lines; read_streams has them."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("stream_id"), F.col("_metadata.file_block_start").alias("_block"), F.decode(F.col("value").cast("binary"), "ISO-8859-1").alias("line")
+    )
+    return _numbered(rows)
+
+
+def read_streams(spark: SparkSession, path: str) -> DataFrame:
+    """stream_id, n_bytes, n_lines and final_newline of every file under path, empty ones too. The text
+    reader takes line ends off, so the file's length tells whether the last line had one."""
+    found = spark.read.format("binaryFile").load(path)
+    # Scans skip empty files, so the names come from the listing, which the driver has; it prints file:/x as file:///x.
+    names = spark.createDataFrame([(re.sub("^(\\w+):///", r"\1:/", f),) for f in found.inputFiles()], "stream_id string")
+    files = names.join(found.select(F.col("_metadata.file_path").alias("stream_id"), F.col("length").alias("n_bytes")), "stream_id", "left").na.fill(0, ["n_bytes"])
+    held = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("stream_id"), F.octet_length("value").alias("n"))
+    held = held.groupBy("stream_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("n") + 1).alias("_ended"))
+    out = files.join(held, "stream_id", "left")
+    return out.select("stream_id", "n_bytes", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), (F.coalesce("_ended", F.lit(-1)) == F.col("n_bytes")).alias("final_newline"))
 
 
 def read_large_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of large files by Spark's splittable text reader; the text must be UTF-8 with \\n ends.
-    line_no comes from the file offsets of splits: one pass counts lines per split, a second numbers
-    them, with the counts (one row a split) in between."""
+    """Lines of UTF-8 text with \\n ends, numbered like read_lines'."""
     rows = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("stream_id"), F.col("_metadata.file_block_start").alias("_block"), F.col("value").alias("line")
-    ).withColumn("_at", F.monotonically_increasing_id())
-    firsts = rows.groupBy("stream_id", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    from pyspark.sql import Window as W
+    )
+    return _numbered(rows)
+
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """stream_id, _block, line with line_no from the lines' places in their splits."""
+    rows = rows.withColumn("_at", F.monotonically_increasing_id())
+    firsts = rows.groupBy("stream_id", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("stream_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = firsts.select("stream_id", "_block", "_first", before.alias("_before"))
     return rows.join(starts, ["stream_id", "_block"]).select("stream_id", (F.col("_before") + F.col("_at") - F.col("_first")).alias("line_no"), "line")
@@ -47,8 +66,22 @@ def lines_of(df: DataFrame, stream_id: Column, text: Column) -> DataFrame:
     )
 
 
-def lines_from(spark: SparkSession, lines: list[str], stream_id: str = "memory") -> DataFrame:
-    return spark.createDataFrame([(stream_id, k, x) for k, x in enumerate(lines)], "stream_id string, line_no long, line string")
+def lines_from(spark: SparkSession, lines: Iterable[str], stream_id: str = "memory", batch: int = 100_000, path: str | None = None) -> DataFrame:
+    """A line table of any iterable of texts. Up to batch lines come from the driver's memory; more are
+    written in batches under path, so that the driver holds one batch at a time."""
+    schema, lines, at = "stream_id string, line_no long, line string", iter(lines), 0
+    while True:
+        own = [(stream_id, at + k, x) for k, x in enumerate(islice(lines, batch))]
+        if path is None or (at == 0 and len(own) < batch):
+            rest = next(lines, None)
+            if rest is not None:
+                raise ValueError("more lines than a batch need a path to be written to")
+            return spark.createDataFrame(own, schema)
+        if own:
+            spark.createDataFrame(own, schema).coalesce(1).write.mode("overwrite" if at == 0 else "append").parquet(path)
+        at += len(own)
+        if len(own) < batch:
+            return spark.read.schema(schema).parquet(path)
 
 
 def chunk_id(line_no: Column, first: int = FIRST_CHUNK, size: int = CHUNK) -> Column:
@@ -64,11 +97,12 @@ def with_chunks(lines: DataFrame, first: int = FIRST_CHUNK, size: int = CHUNK) -
     return lines.withColumn("chunk_id", chunk_id(F.col("line_no"), first, size))
 
 
-def adaptive_sizes(ratios: Column, initial: int = FIRST_CHUNK, usual: int = CHUNK) -> Column:
+def adaptive_sizes(ratios: Column, initial: int = FIRST_CHUNK, usual: int = CHUNK, block: int = 256) -> Column:
     """The sizes of chunks 0, 1, 2 ... given the compression ratios of the chunks before, as the
     array after each: the mean of the last three ratios (two at least) below 0.10 grows the size by
-    half up to 50000, above 0.30 shrinks it by a quarter down to 500, else it drifts to the usual."""
-    start = F.struct(F.lit(initial).cast("double").alias("size"), F.expr("cast(array() as array<double>)").alias("seen"), F.array(F.lit(initial).cast("long")).alias("sizes"))
+    half up to 50000, above 0.30 shrinks it by a quarter down to 500, else it drifts to the usual.
+    Ratios go by in blocks, so that arrays that grow stay small."""
+    none = F.expr("cast(array() as array<double>)")
 
     def step(s: Column, ratio: Column) -> Column:
         seen = F.slice(F.concat(s["seen"], F.array(ratio.cast("double"))), -3, 3)
@@ -82,7 +116,14 @@ def adaptive_sizes(ratios: Column, initial: int = FIRST_CHUNK, usual: int = CHUN
         )
         return F.struct(new.alias("size"), seen.alias("seen"), F.concat(s["sizes"], F.array(new.cast("long"))).alias("sizes"))
 
-    return F.aggregate(ratios, start, step, lambda s: s["sizes"])
+    def over_block(s: Column, own: Column) -> Column:
+        start = F.struct(s["size"].alias("size"), s["seen"].alias("seen"), F.expr("cast(array() as array<bigint>)").alias("sizes"))
+        joined = lambda e: F.struct(e["size"].alias("size"), e["seen"].alias("seen"), F.concat(s["blocks"], F.array(e["sizes"])).alias("blocks"))
+        return let(F.aggregate(own, start, step), joined)
+
+    start = F.struct(F.lit(initial).cast("double").alias("size"), none.alias("seen"), F.array(F.array(F.lit(initial).cast("long"))).alias("blocks"))
+    cut = lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.size(r), F.lit(1)), F.lit(block)), lambda k: F.slice(r, k, block))
+    return let(ratios, lambda r: F.aggregate(cut(r), start, over_block, lambda s: F.flatten(s["blocks"])))
 
 
 def write_lines(lines: DataFrame, path: str, final_newline: bool = True) -> None:
@@ -92,9 +133,9 @@ def write_lines(lines: DataFrame, path: str, final_newline: bool = True) -> None
 
 
 def write_fields(rows: DataFrame, path: str) -> None:
-    """Each column as text files of its own, one value a line."""
-    for c in rows.columns:
-        rows.select(F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")).write.text(f"{path}/{c}")
+    """Each column as text files of its own, one value a line, in one pass over the rows."""
+    long = rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns)).unpivot([], rows.columns, "field", "value")
+    long.write.partitionBy("field").text(path)
 
 
 def made_json_lines(spark: SparkSession, n: int = 100_000, partitions: int | None = None) -> DataFrame:

@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from stratalog.operators import columns, json_lines, parse, select, similar, templates
+from stratalog.functions import bits
+from stratalog.operators import columns, encoders, json_lines, parse, select, similar, templates
 from stratalog.plans import codec
 from stratalog.sources import lines as source
 
@@ -98,13 +99,31 @@ def test_json_meaning(spark):
 
 
 def test_files(spark, tmp_path):
-    contents = {"a.log": b"Line 1\nLine 2", "b.log": b"x\n\n\xff\xfe\x00\r\ny\n", "c.log": b"\n", "d.log": bytes(range(256)) * 3, "e.log": b'{"a": 1}\nplain 5\n{"a": 2}\n'}
+    contents = {"a.log": b"Line 1\nLine 2", "b.log": b"x\n\n\xff\xfe\x00\r\ny\n", "c.log": b"\n", "d.log": bytes(range(256)) * 3, "e.log": b'{"a": 1}\nplain 5\n{"a": 2}\n', "f.log": b""}
+    contents["g.log"] = b"".join(b"line %d of many\n" % k for k in range(12_345)) + b"the last"
     (tmp_path / "in").mkdir()
     for name, data in contents.items():
         (tmp_path / "in" / name).write_bytes(data)
     codec.compress(spark, str(tmp_path / "in"), str(tmp_path / "out"))
-    found = {r["stream_id"].rsplit("/", 1)[1]: bytes(r["content"]) for r in codec.decompress(spark, str(tmp_path / "out")).collect()}
-    assert found == contents
+    rows = codec.decompress(spark, str(tmp_path / "out")).orderBy("stream_id", "chunk_id").collect()
+    found = {}
+    for r in rows:
+        name = r["stream_id"].rsplit("/", 1)[1]
+        found[name] = found.get(name, b"") + bytes(r["content"])
+    assert found == contents and len(rows) == len(contents) + 2
+    stream = next(r["stream_id"] for r in rows if r["stream_id"].endswith("a.log"))
+    assert list(codec.iterate(codec.load(spark, str(tmp_path / "out")), stream)) == ["Line 1", "Line 2"]
+    (tmp_path / "half").mkdir()
+    with pytest.raises(ValueError, match="manifest"):
+        codec.load(spark, str(tmp_path / "half"))
+
+
+def test_any_iterable(spark, tmp_path):
+    rows = source.lines_from(spark, (f"l{k}" for k in range(25)), batch=10, path=str(tmp_path / "lines")).orderBy("line_no").collect()
+    assert [(r["line_no"], r["line"]) for r in rows] == [(k, f"l{k}") for k in range(25)]
+    assert source.lines_from(spark, ["a", "b"]).count() == 2
+    with pytest.raises(ValueError, match="path"):
+        source.lines_from(spark, (str(k) for k in range(11)), batch=10)
 
 
 def test_large_reader(spark, tmp_path):
@@ -118,14 +137,17 @@ def test_large_reader(spark, tmp_path):
     assert [(r["line_no"], r["line"]) for r in rows] == [(k, f"line {k}") for k in range(5000)]
 
 
-def test_codec_of_mixed_lines(spark):
+def test_codec_of_mixed_lines(spark, tmp_path):
     lines_ = [x for pair in zip(LINES, JSON) for x in pair]
     df = frame(spark, lines_)
     made = codec.encode(df, 5, 7)
     assert in_order(codec.decode(made), "line") == lines_
     assert codec.verify(df, made).collect()[0]["lossless"]
-    frames = codec.chunk_frames(df)
-    assert in_order(codec.frame_lines(frames), "line") == lines_
+    for sizes in ((), (3, 4)):
+        frames = codec.chunk_frames(df, *sizes)
+        assert in_order(codec.frame_lines(frames), "line") == lines_
+    again = codec.decode_by_column(codec.encode_by_column(made, encoders.kept_in(spark, str(tmp_path))))
+    assert in_order(codec.decode(again), "line") == lines_
 
 
 def test_verification_finds_differences(spark):
@@ -150,6 +172,44 @@ def test_single_value_columns(spark):
     assert kinds == {"c": "CLF_FRAGMENT", "d": "DICTIONARY", "e": "DICTIONARY", "n": "DICTIONARY", "p": "DICTIONARY"}
 
 
+def test_encoded_columns(spark, tmp_path):
+    """Every type of column, with values that don't fit it, empty texts and absent values."""
+    cells = {
+        "prefix": ["req-001", "req-0x", "req-12", "req--5", None, "req-003"] * 5 + [f"req-{k:03d}" for k in range(60)], "time": [f"2024-01-02T03:04:{k:02d}.5Z" for k in range(60)] + ["2024-01-02 03:04:05+01:00"],
+        "clf": [f"[09/Jun/2005:06:{k:02d}:01 +0000]" for k in range(60)] + ["no time"], "fragment": [f"[09/Jun/2005:06:{k:02d}:01" for k in range(40)], "ip": [f"10.0.{k % 7}.{k}" for k in range(50)] + ["10.0.0.256"],
+        "number": ["6", "", "2", ""], "up": [str(k * k) for k in range(400)] + ["007"], "few": [str(x) for x in (5, 900_000_000_000, 5, 7) * 60], "path": ["/a/b/", "/a/c", "/", "/a//", "/x"][:3] * 3 + ["/x"],
+        "word": ["x", "y", "x", "é\n"], "text": [f"free text {k} é" for k in range(300)], "none": [None, None], "flag": ["true", "false", "true"],
+    }
+    df = spark.createDataFrame([(k, i, v) for k, vs in cells.items() for i, v in enumerate(vs)], "k string, o int, value string")
+    made = encoders.encode_columns(df, ["k"], "o", keep=encoders.kept_in(spark, str(tmp_path / "a")))
+    back = {(r["k"], r["o"]): r["value"] for r in encoders.decode_columns(made, ["k"], "o").collect()}
+    assert back == {(k, i): v for k, vs in cells.items() for i, v in enumerate(vs) if v is not None}
+    chosen = {r["k"]: (r["column_type"], r["encoding"]) for r in made.columns.collect()}
+    assert chosen["up"] == ("NUMBER", "DELTA") and chosen["few"] == ("NUMBER", "DICTIONARY") and chosen["path"] == ("PATH", "PATH") and chosen["number"] == ("DICTIONARY", "DICTIONARY") and chosen["text"] == ("RAW", "RAW")
+    assert chosen["prefix"][0] == "PREFIX_ID" and chosen["fragment"][0] == "CLF_FRAGMENT" and chosen["ip"][0] == "IPV4"
+    sizes = {(r["k"], r["method"]): r for r in encoders.column_candidates(df, ["k"], "o", keep=encoders.kept_in(spark, str(tmp_path / "b"))).collect()}
+    assert all(r["lossless"] for k, r in sizes.items() if k[0] != "none") and sizes["up", "TYPED"]["bytes"] < sizes["up", "RAW"]["bytes"]
+    codes = {(r["k"], r["place"]): r["code"] for r in encoders.unpack_codes(encoders.pack_codes(made, ["k"], "o"), ["k"]).collect()}
+    assert [codes["word", k] for k in range(4)] == [0, 1, 0, 2]
+
+
+def test_long_inputs(spark):
+    """What used to copy an array for every element stays linear."""
+    n = 20_000
+    df = spark.range(1).select(F.sequence(F.lit(0), F.lit(n - 1)).alias("v"))
+    small = F.transform("v", lambda x: (x % 128).cast("long"))
+    assert df.select(bits.unpack(bits.pack(small, 7), 7, F.lit(n)) == small).first()[0]
+    assert df.select(bits.unvarints(bits.varints(small)) == small).first()[0]
+    runs = F.transform("v", lambda x: F.when(x % 700 < 690, 0).otherwise(x % 250 + 1).cast("int"))
+    assert df.select(bits.unzero_runs(bits.zero_runs(runs)) == runs).first()[0]
+    ratios = F.transform("v", lambda x: (x % 7) / 10.0)
+    assert df.select(F.size(source.adaptive_sizes(ratios))).first()[0] == n + 1
+    line = F.array_join(F.transform("v", lambda x: F.when(x % 2 == 0, "word").otherwise(x.cast("string"))), "  ")
+    rows = df.select(F.lit("s").alias("stream_id"), F.lit(0).cast("long").alias("chunk_id"), F.lit(0).cast("long").alias("line_no"), line.alias("line"))
+    made, found = templates.encode_text(rows)
+    assert templates.decode_text(made, found).first()["line"] == rows.first()["line"] and made.first()["raw"] is None
+
+
 def test_synthetic_logs(spark):
     rows = source.made_json_lines(spark, 50).collect()
     assert all(json.loads(r["line"])["request_id"].startswith("req-") for r in rows)

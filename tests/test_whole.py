@@ -11,8 +11,8 @@ QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 @pytest.mark.parametrize("name", ["json_flatten_roundtrip", "json_key_table", "json_key_orders", "json_presence", "json_key_statistics", "json_value_dictionary"])
 def test_json_of_all_events(spark, name):
-    assert "event_id < " not in SQL[f"{name}_all"]
-    compare(QUERIES[f"{name}_all"](spark, SF), connect(SF), SQL[f"{name}_all"])
+    assert "event_id < " not in SQL[name]
+    compare(QUERIES[name](spark, SF), connect(SF), SQL[name])
 
 
 @pytest.mark.parametrize("name", ["xor_window", "xor_bucket_window"])
@@ -21,6 +21,6 @@ def test_similar_lines_of_all_events(spark, name):
     assert sorted(r[0] for r in found) == sorted(r[0] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
 
 
-@pytest.mark.parametrize("name", ["json_semantic_verify_all", "file_roundtrip_all", "generators_all"])
+@pytest.mark.parametrize("name", ["json_semantic_verify", "file_roundtrip", "generators"])
 def test_reports_of_all_rows(spark, name):
     compare(QUERIES[name](spark, SF), connect(SF), SQL[name])
