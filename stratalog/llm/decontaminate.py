@@ -8,7 +8,10 @@ holds all places where the item's window occurs verbatim. Places are joined into
 words, with the items they come from and the longest verbatim match of each document.
 
 The benchmark is the stated query set: it is read in blocks of block_bytes and each block passes
-over all documents, adding to the spans found before. Documents are never shuffled.
+over all documents, adding to the spans found before. The driver and each task hold one block at a
+time, whatever the benchmark's size: a pass that others follow is written and its block let go.
+Documents are never shuffled. A verbatim match is what one item and a document share without a gap,
+of a window's length or more; shorter ones don't contaminate and aren't looked for.
 
 Defined results: null and wordless texts have no words, no spans, no items; an item without words
 matches nothing; an item shorter than the window is one window as a whole; items with equal ids
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import byte_batches, free_name, utf8
+from stratalog.llm.common import byte_batches, free_name, lean, size_of, small_batches, utf8, written
 
 #: Bytes of word characters stay (A-Z in lower case), all others become a space.
 WORDS = bytes(
@@ -195,12 +198,15 @@ def find_contamination(
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     kinds = [T.LongType(), span, T.ArrayType(T.StringType()), T.LongType()]
     extra = [T.StructField(n, k) for n, k in zip(names, kinds)]
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes))
-    out = docs
-    for number, block in enumerate(blocks):
-        last = number == len(blocks) - 1
+    spark = docs.sparkSession
+    small_batches(spark)
+    out, number, blocks = docs, -1, _blocks(benchmark, item_id, item_text, block_bytes)
+    block = next(blocks)
+    while block is not None:
+        number, after = number + 1, next(blocks, None)
+        last = after is None
         kept = [f for f in docs.schema.fields if not last or f.name in keep]
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
+        shipped = spark.sparkContext.broadcast(block)
         later, columns_in = number > 0, [f.name for f in kept]
 
         def run(batches, shipped=shipped, later=later, columns_in=columns_in):
@@ -208,7 +214,7 @@ def find_contamination(
 
             windows = Windows(shipped.value, window)
             spans_kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for batch in byte_batches(batches, text, 8 << 20):
+            for batch in byte_batches(batches, text, 4 << 20):
                 counts, spans, items, longest = _search_documents(utf8(batch.column(text)), windows)
                 if later:
                     old = [batch.column(n).to_pylist() for n in names[1:]]
@@ -223,7 +229,11 @@ def find_contamination(
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns_in), *found], names=[*columns_in, *names])
 
-        out = out.mapInArrow(run, T.StructType([*kept, *extra]))
+        out = out.mapInArrow(lean(run), T.StructType([*kept, *extra]))
+        if not last:
+            out = written(spark, out, "leaks", size_of(docs))
+            shipped.destroy()
+        block = after
     return out
 
 
