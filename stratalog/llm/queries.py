@@ -17,6 +17,15 @@ def tokenizer_path(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def vocabulary_words(name: str = "word_bpe_49k.json") -> list[str]:
+    """The whole words of a public vocabulary, for a dictionary: its entries that end a word."""
+    import json
+
+    with open(tokenizer_path(name), encoding="utf-8") as f:
+        entries = json.load(f)["model"]["vocab"]
+    return sorted(w for e in entries if e.endswith("</w>") and len(w := e.removesuffix("</w>")) >= 3 and w.isascii() and w.isalpha())
+
+
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratalog.llm.html_text import extract_text
 
@@ -61,17 +70,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from stratalog.llm.secret_scan import made_findings, redact, scan, train
+    from stratalog.llm.secret_scan import made_findings, scan, train
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = scan(docs, train(made_findings(spark)))
-    clean = F.when(F.size("findings") > 0, redact(F.col("text"), F.col("findings"))).otherwise(F.coalesce("text", F.lit("")))
+    out = scan(docs, train(made_findings(spark), vocabulary_words()))
     return out.select(
         "doc_id",
         "n_candidates",
         F.size("findings").cast("long").alias("n_findings"),
         F.transform("findings", lambda f: F.sha2(f["value"], 256)).alias("finding_sha256"),
-        F.sha2(clean, 256).alias("redacted_sha256"),
+        F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"),
     )
 
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalog.llm import chat_format, decontaminate, html_text, jaccard_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_counts, toxicity
-from stratalog.llm.queries import queries, tokenizer_path
+from stratalog.llm.queries import queries, tokenizer_path, vocabulary_words
 
 
 def table(sf_dir, name):
@@ -157,7 +157,7 @@ def test_noisy_or():
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secret_scan.train(secret_scan.made_findings(spark, 3000))
+    return secret_scan.train(secret_scan.made_findings(spark, 3000), vocabulary_words())
 
 
 def test_secrets(spark, forest):
@@ -169,9 +169,10 @@ def test_secrets(spark, forest):
     ]
     df = spark.createDataFrame([(k, t, None if k % 2 else "src", "own") for k, (t, _) in enumerate(cells)], "k int, text string, source string, findings string")
     out = secret_scan.scan(df, forest)
-    assert out.columns[-2:] == ["_findings", "n_candidates"] and out.columns[:4] == df.columns
+    assert out.columns[-3:] == ["_findings", "n_candidates", "redacted"] and out.columns[:4] == df.columns
     rows = out.withColumn("clean", secret_scan.redact(F.col("text"), F.col("_findings"))).orderBy("k").collect()
     assert [[f["value"] for f in r["_findings"]] for r in rows] == [x for _, x in cells]
+    assert all(r["clean"] == r["redacted"] for r in rows) and all(r["text"][f["start"] : f["start"] + f["length"]] == f["value"] for r in rows for f in r["_findings"])
     assert rows[7]["clean"] == 'token = "[REDACTED]" and token = "[REDACTED]"' and rows[3]["clean"] == cells[3][0]
     assert secret_scan.scan(df.limit(0), forest).count() == 0
 
@@ -190,13 +191,51 @@ def test_secrets_next_to_each_other(spark, forest):
 
 
 def test_secret_forest_held_out(spark, forest):
-    rows = secret_scan.made_findings(spark, 9000)
-    found = secret_scan.describe(F.col("value"), F.col("before"), F.col("joint"), F.col("path"))
+    rows = secret_scan.made_findings(spark, 6000, first=3000)  # none of the rows that it learned from
+    found = secret_scan.describe(F.col("value"), F.col("before"), F.col("joint"), F.col("path"), forest.bits)
     scored = rows.select("label", *(c.cast("double").alias(n) for n, c in found.items())).withColumn("p", secret_scan.forest_score(forest, F.col))
     right = scored.select(F.avg(((F.col("p") >= 0.5).cast("int") == F.col("label")).cast("double"))).first()[0]
     assert right > 0.97
 
 
+def test_secrets_of_any_first_character(spark, forest):
+    hexes = hashlib.sha1(b"x").hexdigest()
+    cells = [f"/{hexes}", f"+{hexes}", f"_{hexes}", "P@ss!w0rd#2024xyz", f"**{hexes}**"]
+    rows = secret_scan.scan(spark.createDataFrame([(k, f'secret = "{v}"') for k, v in enumerate(cells)], "k int, text string"), forest, least=0.0).orderBy("k").collect()
+    assert [r["findings"][0]["value"] for r in rows] == [*cells[:4], hexes]
+    text = f"commit x{hexes}ffff and token={hexes}."
+    row = secret_scan.scan(spark.createDataFrame([(text,)], "text string"), forest).first()
+    assert row["redacted"] == f"commit x{hexes}ffff and token=[REDACTED]."
+
+
+def brute_candidates(text):
+    """Candidates by a walk over the characters."""
+    run, found, k = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.@!#$%^~-"), [], 0
+    while k < len(text or ""):
+        if text[k] not in run:
+            k += 1
+            continue
+        end = k
+        while end < len(text) and text[end] in run:
+            end += 1
+        if end - k >= 12:
+            stop = min(end + 2, end + len(text[end:]) - len(text[end:].lstrip("=")))
+            whole = text[k:stop]
+            value = whole.lstrip(".!#$^~-")
+            value, start = value.rstrip(".!@/_~-"), k + len(whole) - len(value)
+            if len(value) >= 12 and (any(c in "0123456789" for c in value) or any(a.islower() and a.isascii() and b.isupper() and b.isascii() for a, b in zip(value, value[1:]))):
+                found.append((value, start))
+        k = end
+    return found
+
+
+def test_candidates_against_a_walk(spark, sf_dir, forest):
+    texts = [*table(sf_dir, "documents").text[:150], None, "", "-" * 40, "=" * 30, "a1" * 9 + "===", "..key1key1key1key1..", "😀abcdefghijk1😀" + "+" * 13 + "x1"]
+    rows = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), forest, least=0.0).orderBy("k").collect()
+    assert [[(f["value"], f["start"]) for f in r["findings"]] for r in rows] == [brute_candidates(t) for t in texts]
+    assert sum(r["n_candidates"] for r in rows) == sum(len(r["findings"]) for r in rows) > 0
+
+
 # --- token counts
 
 
