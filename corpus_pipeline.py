@@ -45,13 +45,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; confirmed secrets in their texts are replaced and n_chars follows."""
-    from stratalog.llm.secret_scan import made_findings, redact, scan, train
+    from stratalog.llm.queries import vocabulary_words
+    from stratalog.llm.secret_scan import made_findings, scan, train
 
-    found = scan(docs, train(made_findings(spark)))
-    findings = F.col(found.columns[len(docs.columns)])
-    text = F.when(F.size(findings) > 0, redact(F.col("text"), findings)).otherwise(F.col("text"))
-    n_chars = F.when(F.size(findings) > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    new = {"text": text.alias("text"), "n_chars": n_chars.alias("n_chars")}
+    found = scan(docs, train(made_findings(spark), vocabulary_words()))
+    findings, redacted = F.col(found.columns[len(docs.columns)]), F.col(found.columns[len(docs.columns) + 2])
+    n_chars = F.when(F.size(findings) > 0, F.length(redacted).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    new = {"text": redacted.alias("text"), "n_chars": n_chars.alias("n_chars")}
     return _compact(found.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns)), docs)
 
 
