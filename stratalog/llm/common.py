@@ -85,11 +85,11 @@ def size_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def few_files(df: DataFrame, about: int, per_file: int = 64 << 20, least: int | None = None) -> DataFrame:
-    """df in no more partitions than least (one for every core), or per_file of `about` bytes each: tables
+def few_files(df: DataFrame, about: int, per_file: int = 32 << 20, least: int | None = None) -> DataFrame:
+    """df in no more partitions than least (two for every core), or per_file of `about` bytes each: tables
     that are written have files of a sensible size, however many partitions the step before had. Every
     file costs a file system calls, and on a local one a process that sets its permissions."""
-    least = df.sparkSession.sparkContext.defaultParallelism if least is None else least
+    least = 2 * df.sparkSession.sparkContext.defaultParallelism if least is None else least
     return df.coalesce(min((1 << 31) - 1, max(least, about // per_file)))
 
 

@@ -1,8 +1,11 @@
-"""Exact n-gram Jaccard self-join by pivots, regions and triangle-inequality windows.
+"""Exact n-gram Jaccard self-join by pivots, their regions and triangle-inequality windows.
 
 Jaccard distance is a metric. Almost every pair of documents is at distance 1, so regions around
-freely chosen pivots would all be replicated into each other. The regions are therefore seeded so
-that a pivot only ever meets documents that may be near it:
+freely chosen pivots would all be replicated into each other. The regions are therefore seeded by
+prefix filtering, which decides the candidates: a pivot meets the sets that share one of its rarest
+shingles. A set belongs to the region of every pivot that it meets, not to that of the nearest one
+alone, so this is no Voronoi partition, and a region that is too large is cut by distance to its pivot,
+not around new pivots. The metric's part is in the rings and windows:
 
 1. A set that is linked with another has at most (1 - t) of its shingles alone. Sets with more are
    linked with nothing; they are found by counting a share of all shingles, chosen by hash.
@@ -296,7 +299,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int, size: int) ->
                 yield _signed_batch(out)
         yield from block.rows(last=True)
 
-    held = written(spark, sets.mapInArrow(lean(pack), SIGNED), "rare-keys", size, 3)
+    held = written(spark, sets.mapInArrow(lean(pack), SIGNED), "rare-keys", size, spark.sparkContext.defaultParallelism)
     ranked = "block long, members binary, ranks binary, keys binary, first long, rank int"
 
     def rank(table):
@@ -315,7 +318,7 @@ def _rare_keys(spark, sets: DataFrame, percent: int, buckets: int, size: int) ->
         return pa.table({c.split()[0]: pa.array(v, k) for c, v, k in zip(ranked.split(", "), columns, kinds)})
 
     met = held.filter(F.col("kind") == KEYS).select("bucket", "block", "first", "steps", "members").groupBy("bucket").applyInArrow(rank, ranked)
-    met = written(spark, met, "ranks", size, 3)
+    met = written(spark, met, "ranks", size, spark.sparkContext.defaultParallelism)
     frequent = held.filter(F.col("kind") == FREQUENT).select("block", "members", "first")
     frequent = frequent.join(met.filter("block is null").select("first", "rank"), "first").select("block", "members", F.lit(None).cast("binary").alias("ranks"), F.lit(None).cast("binary").alias("keys"), "first", "rank")
     none = lambda t: F.lit(None).cast(t)
@@ -484,7 +487,7 @@ def _region_links(members: DataFrame, sets: DataFrame, sizes: DataFrame, percent
     r = max(100 - percent, 1)
     ring = F.expr(f"greatest(1, cast((100 * differ + whole * {r} - 1) div (whole * {r}) as int))")
     far = far.select("pivot", "set_id", "n_shingles", (union - common).alias("differ"), union.alias("whole")).withColumn("ring", ring).drop("differ", "whole")
-    far = written(spark, far, "rings", size, 3)
+    far = written(spark, far, "rings", size, spark.sparkContext.defaultParallelism)
     near_pivot = far.filter((F.col("ring") == 1) & (F.col("set_id") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("set_id").alias("b"))
     counts = far.groupBy("pivot", "ring").agg(F.sum("n_shingles").alias("held"))
     blocks = counts.select("pivot", "ring", F.greatest(F.lit(1), F.ceil(F.col("held") * 2 / block_shingles)).cast("int").alias("n"))
@@ -543,12 +546,12 @@ def jaccard_components(
     buckets = max(64, min(1 << 20, size // bucket_bytes))
     held = written(spark, _signatures(docs, n, percent, buckets), "signatures", size)
     signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
-    possible = written(spark, _possible(held, percent), "possible", size, 3)
+    possible = written(spark, _possible(held, percent), "possible", size, spark.sparkContext.defaultParallelism)
     possible = possible.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
     sets = written(spark, _shingle_sets(docs, n, possible).dropDuplicates(["set_id"]), "sets", size)
-    keys = written(spark, _rare_keys(spark, sets, percent, buckets, size), "keys", size, 3)
+    keys = written(spark, _rare_keys(spark, sets, percent, buckets, size), "keys", size, spark.sparkContext.defaultParallelism)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
-    members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members", size, 3)
+    members = written(spark, keys.join(shared, "key").select("pivot", "set_id").distinct(), "members", size, spark.sparkContext.defaultParallelism)
     sizes = sets.select("set_id", F.size("shingles").cast("long").alias("n_shingles"))
     links = _region_links(members, sets, sizes, percent, block_shingles, spark, size)
     # Rows that share a document id are one document: their classes are connected.

@@ -13,7 +13,7 @@ there (before white space after another character, and around characters that oc
 piece) and each distinct part is encoded once per task, in a table of bounded size.
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to an empty
-text; text of any length is encoded whole; equal texts give equal ids; an empty table gives an
+text; a model of another type, or one that normalises texts, is an error; text of any length is encoded whole; equal texts give equal ids; an empty table gives an
 empty table; other columns pass through unchanged, and the operator's columns get an underscore
 before them if their name is taken.
 """
@@ -32,6 +32,8 @@ from stratalog.llm.common import added, byte_batches, free_name, lean, small_bat
 
 SPACE = "▁"
 NONE = -2
+#: texts that the usual ways of normalising change
+PROBES = ["a  b", " a ", "ＡBC ①ﬁ", "e\u0301 é", "\tx\n y", "\u00a0x\u3000y", "▁a", "ABC def 123"]
 
 
 class MergeEncoder:
@@ -79,6 +81,9 @@ class MergeEncoder:
         self.table: dict[str, str] = {}
         self.older: dict[str, str] = {}
         self.table_size = table_size
+        # prepared() knows one way of preparing texts; a model that asks for another is refused.
+        if any(self.encode(t) != list(lib.encode(t)) for t in PROBES):
+            raise ValueError("the model's type or its way of normalising texts isn't supported")
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging: the best-scored neighbours first, the left one of equals. Keeps the two

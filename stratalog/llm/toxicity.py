@@ -110,10 +110,10 @@ def _own_weights(sample: DataFrame) -> dict:
     return {r["_id"]: r["w"] / (1 << 30) for r in own.collect()}  # one row a sampled document at most
 
 
-def _candidates(sample: DataFrame, own: dict, least_ratio: float) -> list[str]:
+def _candidates(sample: DataFrame, own: dict, least_ratio: float) -> tuple[list[str], list[str]]:
     """The words that toxic documents hold more often than chance lets them: a log-likelihood ratio over
-    least_ratio on the weighted counts, and three times the others' share. Words of all toxic documents
-    can't tell which sentence offends; these and all others have no weight."""
+    least_ratio on the weighted counts, and three times the others' share; those that all toxic documents
+    hold apart, as they can't tell which sentence offends. All other words have no weight."""
     shipped = sample.sparkSession.sparkContext.broadcast(own)
 
     def held(batches):
@@ -141,8 +141,9 @@ def _candidates(sample: DataFrame, own: dict, least_ratio: float) -> list[str]:
     for k in (0, 1):
         held_, rest = F.col(f"h{k}"), F.lit(whole[k]) - F.col(f"h{k}")
         ratio = ratio + 2 * part(held_, held_ / whole[k], rate) + 2 * part(rest, rest / whole[k], 1 - rate)
-    kept = counts.filter((ratio > least_ratio) & (F.col("h1") < whole[1] * (1 - 1e-9)) & (F.col("h1") / whole[1] > 3 * F.col("h0") / whole[0]))
-    return sorted(r["word"] for r in kept.select("word").collect())
+    kept = counts.filter((ratio > least_ratio) & (F.col("h1") / whole[1] > 3 * F.col("h0") / whole[0]))
+    found = sorted(tuple(r) for r in kept.select("word", (F.col("h1") >= whole[1] * (1 - 1e-9)).alias("all")).collect())
+    return [w for w, all_ in found if not all_], [w for w, all_ in found if all_]
 
 
 def fit(
@@ -177,8 +178,27 @@ def fit(
     if len(drawn) < 2:
         return Model({}, -30.0, share)
     own = _own_weights(sample)
-    names = _candidates(sample, own, least_ratio)
-    shipped = spark.sparkContext.broadcast({w: k for k, w in enumerate(names)})
+    names, common = _candidates(sample, own, least_ratio)
+    got = _places(sample, names)
+    if common and any(y and not s for y, s in zip(got.column("_y").to_pylist(), got.column("s").combine_chunks().value_lengths().to_pylist())):
+        names = sorted(names + common)  # a toxic document has no other candidate
+        got = _places(sample, names)
+    y = got.column("_y").to_numpy()
+    weight = np.array([own.get(i, 1.0) for i in got.column("_id").to_pylist()])
+    weight = weight * np.array([counts[k] / drawn[k] * len(y) / sum(counts.values()) for k in (0, 1)])[y]
+    said = got.column("s").combine_chunks()
+    per = np.asarray(said.value_lengths())
+    theta = train(
+        y.astype(float), weight, got.column("plain").to_numpy().astype(float), np.repeat(np.arange(len(y)), per), np.asarray(said.flatten().flatten()), np.asarray(said.flatten().value_lengths()), len(names)
+    )
+    strong = {w: float(theta[k]) for k, w in enumerate(names) if abs(theta[k]) > 0.02}
+    return Model(strong, float(theta[len(names)]), 1 / (1 + math.exp(-float(theta[len(names) + 1]))))
+
+
+def _places(sample: DataFrame, names: list[str]):
+    """By sampled document, in the order of ids: label, number of sentences without candidates (plain), and
+    the candidates of the others as places in names (s)."""
+    shipped = sample.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(names)})
 
     def placed(batches):
         import pyarrow as pa
@@ -193,17 +213,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(plain, pa.int64()), pa.array(said, pa.list_(pa.list_(pa.int32())))], names=["_id", "_y", "plain", "s"])
 
     found = T.StructType([sample.schema["_id"], sample.schema["_y"], T.StructField("plain", T.LongType()), T.StructField("s", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    got = sample.mapInArrow(lean(placed), found).toArrow().sort_by("_id").combine_chunks()
-    y = got.column("_y").to_numpy()
-    weight = np.array([own.get(i, 1.0) for i in got.column("_id").to_pylist()])
-    weight = weight * np.array([counts[k] / drawn[k] * len(y) / sum(counts.values()) for k in (0, 1)])[y]
-    said = got.column("s").combine_chunks()
-    per = np.asarray(said.value_lengths())
-    theta = train(
-        y.astype(float), weight, got.column("plain").to_numpy().astype(float), np.repeat(np.arange(len(y)), per), np.asarray(said.flatten().flatten()), np.asarray(said.flatten().value_lengths()), len(names)
-    )
-    strong = {w: float(theta[k]) for k, w in enumerate(names) if abs(theta[k]) > 0.02}
-    return Model(strong, float(theta[len(names)]), 1 / (1 + math.exp(-float(theta[len(names) + 1]))))
+    return sample.mapInArrow(lean(placed), found).toArrow().sort_by("_id").combine_chunks()
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", offending: float = 0.5, columns: list[str] | None = None) -> DataFrame:

@@ -538,5 +538,152 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(61)) and got[100] == got[95] == got[90] == 90 and 200 not in got
 
 
+# --- clashing names
+
+
+def test_clashing_names(spark, documents):
+    """Columns of the operators' own names stay as they are, the operators' get underscores."""
+    labels = spark.createDataFrame([(1, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
+    ranks, model = token_counts.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken")), sentencepiece_codec.read_model(tokenizer_path("piece_bpe_32k.model"))
+    cases = {
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels)), "toxic_sentences": lambda d: toxicity.score(d, toxicity.fit(d, labels)),
+        "quality_score": lambda d: quality_classifier.score(d, quality_classifier.fit(d, labels)), "n_tokens": lambda d: token_counts.count_tokens(d, ranks),
+        "token_ids": lambda d: sentencepiece_codec.encode_decode(d, model), "decoded": lambda d: sentencepiece_codec.encode_decode(d, model),
+    }
+    for name, f in cases.items():
+        clash = documents.withColumn(name, F.lit("own"))
+        out = f(clash)
+        assert f"_{name}" in out.columns and out.columns[: len(clash.columns)] == clash.columns, name
+        assert {r[0] for r in out.select(name).collect()} == {"own"}
+    pages = spark.createDataFrame([(1, "<p>a</p>", "own"), (1, "<p>a</p>", "own"), (None, None, None)], "page_id long, html string, main_text string")
+    assert sorted((r["main_text"], r["_main_text"]) for r in html_text.extract_text(pages).collect() if r["page_id"]) == [("own", "a")] * 2
+    assert html_text.extract_text(pages.limit(0)).count() == 0 and {r["_main_text"] for r in html_text.extract_text(pages).filter("page_id is null").collect()} == {""}
+    kept = jaccard_join.keep_one(documents.withColumn("_gone", F.lit(7)).withColumn("set_id", F.lit("x")))
+    assert kept.columns[-2:] == ["_gone", "set_id"] and kept.count() == jaccard_join.keep_one(documents).count()
+    rows = spark.createDataFrame([(1, 0, "user", "a", "x", 5)], "conv_id long, turn long, role string, text string, formatted string, turns int")
+    assert chat_format.format_conversations(rows).first()["formatted"].startswith("<|im_start|>user")
+
+
+def test_rules_with_a_column_of_their_own_name(spark):
+    docs = spark.createDataFrame([(1, "three words only", 1_000_000), (2, " ".join(f"w{k}" for k in range(40)), 0)], "doc_id long, text string, n_words long")
+    stats = quality_rules.count_statistics(docs)
+    out = {r["doc_id"]: r for r in quality_rules.judge(stats, quality_rules.fit(stats, spark.createDataFrame([], "doc_id long, quality int"))).collect()}
+    assert out[1]["base_failed"] and not out[1]["kept"] and out[1]["_n_words"] == 3 and out[1]["n_words"] == 1_000_000 and out[2]["kept"]
+
+
+def test_near_copies_with_ids_of_text(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([("b", text), ("a", text + " end"), ("c", "other"), (None, text)], "doc_id string, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == {("a", "a"), ("b", "a"), ("c", "c"), (None, "a")} and jaccard_join.keep_one(df).count() == 3
+
+
+def test_long_labelled_texts(spark):
+    """Labels on long texts only: they are learned from."""
+    random.seed(4)
+    words = [f"w{k}" for k in range(300)]
+    long = lambda bad: ". ".join(" ".join(random.choices(words, k=12)) + (f" {random.choice(['foo', 'bar'])} w1" if bad and k % 50 == 0 else "") for k in range(2500))
+    docs = spark.createDataFrame([(k, long(k % 2)) for k in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(24)], "doc_id long, toxic int, quality int")
+    assert docs.select(F.min(F.length("text"))).first()[0] > 100_000
+    assert {"foo", "bar"} & toxicity.fit(docs, labels).weights.keys()
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels)).collect()
+    assert len({round(r["quality_score"], 6) for r in scored}) > 1
+
+
+def test_long_conversation(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <|im_end|> "), F.col("id")).alias("text"))
+    r = chat_format.format_conversations(rows).first()
+    assert r["round_trip"] and len(r["turns"]) == 20_000
+    assert all(t["loss_start"] is None or r["formatted"][t["loss_start"] : t["loss_start"] + t["loss_length"]] == t["raw"] for t in r["turns"])
+
+
+@pytest.mark.parametrize("source,text", [('<p hidden="">a</p><p>b, c</p>', "b, c"), ("<p hidden=hidden>a</p><p>b</p>", "b"), ("<p data-hidden='1'>a</p><p>b</p>", "a b"), ('<p title="hidden">a</p><p>b</p>', "a b")])
+def test_html_hidden(source, text):
+    assert html_text.main_text(source) == text
+
+
+def brute_toxic_model(rows, least_ratio=16.0):
+    """The candidates of (label, text) rows, counted in plain Python."""
+    import math
+
+    said = [(y, [frozenset(toxicity.words(t[a:b])) for a, b in toxicity.sentences(t)], toxicity.words(t)) for y, t in rows]
+    holders = collections.Counter((y, s) for y, ss, _ in said for s in {x for x in ss if x})
+    own = [(sum(1 / holders[y, s] for s in {x for x in ss if x}) / len({x for x in ss if x}) if any(ss) else 1.0) for y, ss, _ in said]
+    whole = [sum(w for w, (y, _, _) in zip(own, said) if y == k) for k in (0, 1)]
+    held = collections.defaultdict(lambda: [0.0, 0.0])
+    for w, (y, _, ws) in zip(own, said):
+        for x in ws:
+            held[x][y] += w
+    out = []
+    for x, h in held.items():
+        rate, ratio = sum(h) / sum(whole), 0.0
+        for k in (0, 1):
+            for n, share, of in ((h[k], h[k] / whole[k], rate), (whole[k] - h[k], 1 - h[k] / whole[k], 1 - rate)):
+                ratio += 2 * n * math.log(share / of) if n > 1e-9 and share > 1e-12 else 0.0
+        if ratio > least_ratio and h[1] / whole[1] > 3 * h[0] / whole[0]:
+            out.append(x)
+    return sorted(out)
+
+
+def test_toxic_candidates_and_scores_against_plain_python(spark):
+    """op3's candidates, and every score as one minus the product over the sentences."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = table(sf, "documents"), table(sf, "labels")
+    keep = labels[labels.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 != 1)]
+    known = keep.merge(docs, on="doc_id")
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(texts, spark.read.parquet(f"{sf}/labels.parquet"), rows=toxicity.fold(F.col("doc_id"), 3) != 1)
+    candidates = brute_toxic_model(list(zip(known.toxic, known.text)))
+    assert set(model.weights) <= set(candidates)
+    scored = {r["doc_id"]: r for r in queries()["op3_toxicity"](spark, sf).collect()}
+    for i, t in zip(docs.doc_id, docs.text):
+        miss = 1 - model.leak
+        for a, b in toxicity.sentences(t):
+            z = model.bias + sum(model.weights.get(w, 0.0) for w in toxicity.words(t[a:b]))
+            miss *= 1 - min(1 / (1 + math.exp(-z)), 1 - 1e-12)
+        assert scored[i]["score"] == pytest.approx(1 - miss, abs=1e-9) and scored[i]["predicted"] == (scored[i]["score"] >= 0.7)
+
+
+def test_quality_scores_against_plain_python(spark):
+    """op7's scores by words, n-grams and pairs hashed one by one."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_classifier.fit(spark.read.parquet(f"{sf}/documents.parquet"), labels, rows=toxicity.fold(F.col("doc_id"), 5) != 0)
+    mask = (1 << 32) - 1
+
+    def bucket(h):
+        return (((h ^ (h >> 15)) * 0x9E3779B1) & mask) >> 17
+
+    def plain(text):
+        found, before = [], None
+        for w in (x.decode("utf-8", "replace") for x in text.encode().split()):
+            ring = [32, *map(ord, w), 32]
+            for n in (3, 4, 5):
+                for k in range(len(ring) - n + 1):
+                    h = ring[k]
+                    for c in ring[k + 1 : k + n]:
+                        h = (h * 0x01000193 + c) & mask
+                    found.append(bucket((h + n) & mask))
+            power, h = 1, 0
+            for c in map(ord, w):
+                power = power * 0x85EBCA6B & mask
+                h = (h + c * power) & mask
+            h = (h + len(w)) & mask
+            found.append(bucket(h * 0xC2B2AE35 & mask))
+            if before is not None:
+                found.append(quality_classifier.SAME_PAIR if before == h else bucket((before * 0x27D4EB2F + h * 0x165667B1) & mask))
+            before = h
+        z = model.bias + (sum(model.shares[k] for k in found) / len(found) if found else 0.0)
+        return 1 / (1 + math.exp(-z))
+
+    for t in [*table(sf, "documents").text[:40], "", "a a é中 😀 b"]:
+        assert model.score(t.encode()) == pytest.approx(plain(t), abs=1e-9)
+
+
 def test_modules_stand_alone():
     assert importlib.import_module("stratalog.catalog").queries()
