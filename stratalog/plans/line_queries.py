@@ -308,12 +308,6 @@ def drain_roundtrip(spark, sf_dir):
     return templates.decode_text(rows, found).select("stream_id", "line_no", "line")
 
 
-@query()
-def merged_templates(spark, sf_dir):
-    found = templates.templates_of(templates.mine(document_chunks(spark, sf_dir)), ["stream_id", "chunk_id"])
-    return templates.merge_templates(found)
-
-
 @query(MIXED + "SELECT stream_id::VARCHAR AS stream_id, line_no, line FROM lines")
 def codec_roundtrip(spark, sf_dir):
     rows = mixed_lines(spark, sf_dir).withColumn("stream_id", F.col("stream_id").cast("string"))

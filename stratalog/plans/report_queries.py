@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
-from stratalog.operators import select
+from stratalog.functions.packing import zstd_decompress
+from stratalog.operators import encoders, select
 from stratalog.plans import codec
 from stratalog.sources import lines as source
 
@@ -93,8 +94,7 @@ def adaptive_chunk_sizes(spark, sf_dir):
 
 @query(LINES + "SELECT 's' || stream_id::BIGINT % 10 AS stream_id, count(*) AS n, 0 AS n_different, true AS lossless FROM lines GROUP BY 1")
 def verify_roundtrip(spark, sf_dir):
-    rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
-    rows = rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
+    rows = document_streams(spark, sf_dir)
     return codec.verify(rows, codec.encode(rows, 0, 5_000_000)).select("stream_id", "n", "n_different", "lossless")
 
 
@@ -109,20 +109,42 @@ def json_semantic_verify(spark, sf_dir):
     return rows.select("event_id", select.same_json(spelled, swapped).alias("same"), both.alias("difference"))
 
 
-@query()
-def method_choice(spark, sf_dir):
-    """raw lines or encoded columns, whichever is smaller and lossless, for ten streams of lines."""
+def document_streams(spark, sf_dir):
+    """All documents' lines as ten streams, in the order of documents and lines."""
     rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
-    rows = rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
-    return select.smallest(codec.candidate_sizes(rows), ["stream_id"])
+    return rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
+
+
+STREAMS = LINES + """, d AS (SELECT 's' || stream_id::BIGINT % 10 AS stream_id, stream_id::BIGINT * 100000 + line_no AS line_no, line FROM lines)
+"""
+
+
+@query(STREAMS + "SELECT stream_id, unnest(['raw', 'zstd', 'columns']) AS method, unnest([sum(strlen(line) + 1)::BIGINT, NULL, NULL]) AS bytes, true AS lossless FROM d GROUP BY 1")
+def method_sizes(spark, sf_dir):
+    """Raw lines, zstd frames and typed columns of ten streams: each method decodes exactly. The bytes of
+    the last two are in method_choice."""
+    sizes = codec.candidate_sizes(document_streams(spark, sf_dir), encoders.kept_in(spark, scratch(spark, "methods")))
+    return sizes.select("stream_id", "method", F.when(F.col("method") == "raw", F.col("bytes")).alias("bytes"), "lossless")
 
 
 @query()
+def method_choice(spark, sf_dir):
+    """The smallest lossless method of ten streams, and its bytes against the raw ones'."""
+    sizes = codec.candidate_sizes(document_streams(spark, sf_dir), encoders.kept_in(spark, scratch(spark, "methods")))
+    raw = sizes.filter("method = 'raw'").select("stream_id", F.col("bytes").alias("raw_bytes"))
+    return select.smallest(sizes, ["stream_id"]).join(raw, "stream_id").withColumn("ratio", F.col("bytes") / F.col("raw_bytes"))
+
+
+@query(
+    STREAMS
+    + """, c AS (SELECT *, CASE WHEN line_no < 1000 THEN 0 ELSE 1 + (line_no - 1000) // 10000 END AS chunk_id FROM d)
+SELECT stream_id, chunk_id, count(*) AS n_lines, min(line_no) AS first_line, CASE WHEN bool_and(json_valid(line) AND line LIKE '{%}') THEN 'JSON' WHEN NOT bool_or(json_valid(line) AND line LIKE '{%}') THEN 'TEXT' ELSE 'MIXED' END AS chunk_type,
+  sum(strlen(line) + 1)::BIGINT - 1 AS raw_bytes, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS restored_sha256 FROM c GROUP BY ALL"""
+)
 def zstd_sizes(spark, sf_dir):
-    """Bytes of raw chunks and of their zstd frames."""
-    rows = document_lines(spark, sf_dir).withColumn("doc", F.col("stream_id").cast("long"))
-    rows = rows.select(F.concat(F.lit("s"), (F.col("doc") % 10).cast("string")).alias("stream_id"), (F.col("doc") * 100_000 + F.col("line_no")).alias("line_no"), "line")
-    return codec.chunk_frames(rows).select("stream_id", "chunk_id", "n_lines", "chunk_type", "raw_bytes", "frame_bytes")
+    """Chunks as zstd frames, and a digest of what the frames give back."""
+    frames = codec.chunk_frames(document_streams(spark, sf_dir))
+    return frames.select("stream_id", "chunk_id", "n_lines", "first_line", "chunk_type", F.col("raw_bytes").cast("long").alias("raw_bytes"), F.sha2(zstd_decompress(F.col("frame")), 256).alias("restored_sha256"))
 
 
 @query(

@@ -87,31 +87,57 @@ def variable_streams(spark, sf_dir):
     return parse.variables_by_type(rows, ["k"]).drop("k")
 
 
-#: The miner's rule as a recursion over the lines of all scopes at once: a scope's state is the list of its
-#: clusters (key: its first word unless variable, and its words, null where they vary).
+VARIES = f"(({VARIABLE}) OR w = '<*>')"
+
+
+def mining_sql(rows: str, state: str) -> str:
+    """The miner's rule as a recursion over the lines of all scopes at once. rows: a table of scope, k (1, 2,
+    ...) and words. A scope's state: its clusters (first: the first word unless it varies; words: null
+    where they vary) and the cluster that each line joined."""
+    return f"""{state}(scope, k, clusters, joined) USING KEY (scope) AS (
+  SELECT DISTINCT scope, 0::BIGINT, []::STRUCT(first VARCHAR, words VARCHAR[])[], []::BIGINT[] FROM {rows}
+  UNION SELECT scope, k, CASE WHEN len(words) = 0 THEN clusters
+    WHEN hit IS NOT NULL THEN list_transform(clusters, lambda x, i: CASE WHEN i = hit THEN {{'first': x.first, 'words': list_transform(x.words, lambda y, j: CASE WHEN y = words[j] THEN y END)}} ELSE x END)
+    WHEN len(clusters) >= 500 THEN clusters ELSE list_append(clusters, {{'first': literal[1], 'words': literal}}) END,
+    list_append(joined, CASE WHEN len(words) = 0 THEN NULL WHEN hit IS NOT NULL THEN hit WHEN len(clusters) < 500 THEN len(clusters) + 1 END)
+  FROM (SELECT m.scope, p.k, m.clusters, m.joined, p.words, p.literal, list_min(list_filter(list_transform(m.clusters, lambda x, i:
+      CASE WHEN x.first IS NOT DISTINCT FROM p.literal[1] AND len(x.words) = len(p.words) AND len(list_filter(list_transform(x.words, lambda y, j: y = p.words[j]), lambda z: z)) >= 0.4 * len(p.words) THEN i END), lambda i: i IS NOT NULL)) AS hit
+    FROM {state} m JOIN (SELECT *, list_transform(words, lambda w: CASE WHEN {VARIES} THEN NULL ELSE w END) AS literal FROM {rows}) p ON p.scope = m.scope AND p.k = m.k + 1))"""
+
+
 DRAIN = (
-    LINES
-    + f""", w AS (SELECT 's' || stream_id::BIGINT % 10 AS s, stream_id::BIGINT // 500 AS c, stream_id::BIGINT * 100000 + line_no AS line_no, regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM lines),
-p AS (SELECT s, c, row_number() OVER (PARTITION BY s, c ORDER BY line_no) AS k, words, list_transform(words, lambda w: CASE WHEN ({VARIABLE}) OR w = '<*>' THEN NULL ELSE w END) AS literal FROM w),
+    LINES.replace("WITH lines", "WITH RECURSIVE lines", 1)
+    + """, w AS (SELECT 's' || stream_id::BIGINT % 10 || ' ' || stream_id::BIGINT // 500 AS scope, stream_id::BIGINT * 100000 + line_no AS line_no, regexp_extract_all(line, '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM lines),
+p AS (SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY line_no) AS k, words FROM w),
 """
-)
-DRAIN = DRAIN.replace("WITH lines", "WITH RECURSIVE lines", 1) + """m(s, c, k, clusters) USING KEY (s, c) AS (
-  SELECT DISTINCT s, c, 0::BIGINT, []::STRUCT(first VARCHAR, words VARCHAR[])[] FROM p
-  UNION SELECT s, c, k, CASE WHEN len(words) = 0 THEN clusters
-    WHEN hit IS NOT NULL THEN list_transform(clusters, lambda x, i: CASE WHEN i = hit THEN {'first': x.first, 'words': list_transform(x.words, lambda y, j: CASE WHEN y = words[j] THEN y END)} ELSE x END)
-    WHEN len(clusters) >= 500 THEN clusters ELSE list_append(clusters, {'first': literal[1], 'words': literal}) END
-  FROM (SELECT m.s, m.c, p.k, m.clusters, p.words, p.literal, list_min(list_filter(list_transform(m.clusters, lambda x, i:
-      CASE WHEN x.first IS NOT DISTINCT FROM p.literal[1] AND len(x.words) = len(p.words) AND len(list_filter(list_transform(x.words, lambda y, j: y = p.words[j]), lambda z: z)) >= 0.4 * len(p.words) THEN i END), lambda i: i IS NOT NULL)) AS hit
-    FROM m JOIN p ON p.s = m.s AND p.c = m.c AND p.k = m.k + 1))
+    + mining_sql("p", "m")
+    + """,
+found AS (SELECT split_part(scope, ' ', 1) AS stream_id, split_part(scope, ' ', 2)::BIGINT AS chunk_id, i - 1 AS cluster, array_to_string(list_transform(x.words, lambda y: coalesce(y, '<*>')), ' ') AS template, len(list_filter(x.words, lambda y: y IS NULL)) AS n_variables
+  FROM (SELECT scope, unnest(clusters) AS x, unnest(generate_series(1, len(clusters))) AS i FROM m WHERE len(clusters) > 0))
 """
+)
 
 
-@query(DRAIN + "SELECT s AS stream_id, c AS chunk_id, i - 1 AS cluster, array_to_string(list_transform(x.words, lambda y: coalesce(y, '<*>')), ' ') AS template, len(list_filter(x.words, lambda y: y IS NULL)) AS n_variables FROM (SELECT s, c, unnest(clusters) AS x, unnest(generate_series(1, len(clusters))) AS i FROM m WHERE len(clusters) > 0)")
+@query(DRAIN + "SELECT * FROM found")
 def drain_templates(spark, sf_dir):
     found = templates.templates_of(templates.mine(document_chunks(spark, sf_dir)), ["stream_id", "chunk_id"])
     return found.select("stream_id", "chunk_id", "cluster", "template", F.col("n_variables").cast("long").alias("n_variables"))
 
 
+@query(
+    DRAIN
+    + """, t AS (SELECT DISTINCT template, string_split(template, ' ') AS words FROM found), q AS (SELECT template, words, len(words) || chr(9) || words[1] AS scope, row_number() OVER (PARTITION BY len(words), words[1] ORDER BY template) AS k FROM t),
+"""
+    + mining_sql("q", "n")
+    + """
+SELECT q.template, coalesce(array_to_string(list_transform(n.clusters[n.joined[q.k]].words, lambda y: coalesce(y, '<*>')), ' '), q.template) AS merged FROM q JOIN n ON n.scope = q.scope"""
+)
+def merged_templates(spark, sf_dir):
+    """Templates of all chunks, mined once more."""
+    found = templates.templates_of(templates.mine(document_chunks(spark, sf_dir)), ["stream_id", "chunk_id"])
+    return templates.merge_templates(found)
+
+
 SPREAD = """WITH l AS (SELECT event_id // 500 AS chunk_id, event_id AS line_no, 'user ' || lpad(user_id::VARCHAR, 5, '0') || ' did ' || event_type || ' ' || event_id AS line FROM events),
 """
 SIMILAR = "list_sum(list_transform(generate_series(1, greatest(length(line), length(x.line))), lambda i: CASE WHEN i <= least(length(line), length(x.line)) AND substr(line, i, 1) = substr(x.line, i, 1) THEN 1 ELSE 0 END)) / greatest(length(line), length(x.line))"
