@@ -99,7 +99,15 @@ def written(spark: SparkSession, df: DataFrame, name: str, about: int | None = N
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     (df if about is None else few_files(df, about, least=least)).write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more: what came of them has been written, too."""
+    for df in tables:
+        _remove(df.sparkSession, df._written_at)
 
 
 def added(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stratalog.llm.common import byte_batches, free_name, lean, size_of, small_batches, utf8, written
+from stratalog.llm.common import byte_batches, dropped, free_name, lean, size_of, small_batches, utf8, written
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -527,7 +527,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", about: int | None =
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct()
-        now = written(spark, small, "edges", 8 * size_of(now), least=2)
+        before, now = now, written(spark, small, "edges", 8 * size_of(now), least=2)
+        dropped(before)
         got = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
@@ -546,8 +547,8 @@ def jaccard_components(
     buckets = max(64, min(1 << 20, size // bucket_bytes))
     held = written(spark, _signatures(docs, n, percent, buckets), "signatures", size)
     signed = held.filter(F.col("kind") == DOCUMENT).select("doc_id", "set_id", "n_shingles")
-    possible = written(spark, _possible(held, percent), "possible", size, spark.sparkContext.defaultParallelism)
-    possible = possible.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
+    possible_ = written(spark, _possible(held, percent), "possible", size, spark.sparkContext.defaultParallelism)
+    possible = possible_.groupBy("set_id").agg(F.min(F.struct("doc_id", "digest")).alias("d")).select("set_id", "d.*")
     sets = written(spark, _shingle_sets(docs, n, possible).dropDuplicates(["set_id"]), "sets", size)
     keys = written(spark, _rare_keys(spark, sets, percent, buckets, size), "keys", size, spark.sparkContext.defaultParallelism)
     shared = keys.groupBy("key").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last")).filter("pivot != last").select("key", "pivot")
@@ -559,6 +560,7 @@ def jaccard_components(
     several = repeated.filter("a != b").select("doc_id", "a")
     same = signed.join(several, "doc_id").select("a", F.col("set_id").alias("b")).filter("a != b and b is not null")
     roots = components(links.unionByName(same), about=size)
+    dropped(possible_, sets, keys, members)
     classes = signed.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
