@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalog.catalog import EVENTS, chunked_events, query, table
+from stratalog.catalog import EVENTS, LINES, chunked_events, document_lines, query, table
 from stratalog.functions import bits, packing
 from stratalog.operators import encoders, parse, select
 from stratalog.operators import json_lines as j
 from stratalog.plans import codec
 from stratalog.plans.column_queries import CELLS, event_cells
-from stratalog.plans.line_queries import MIXED, NESTED, mixed_lines, nested_lines
+from stratalog.plans.line_queries import MIXED, NESTED, known_lines, mixed_lines, nested_lines
 from stratalog.plans.report_queries import scratch
 
 KEYS = ["chunk_id", "column_id"]
@@ -210,3 +210,41 @@ def json_tests(spark, sf_dir):
     k = F.col("event_id") % 4
     line = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit("["), F.col("props"), F.lit("]"))).when(k == 2, F.lit("[1, null]")).otherwise("{not json}")
     return table(spark, sf_dir, "events").select("event_id", parse.is_json_or_array(line).alias("object_or_array"), parse.is_json(line).alias("object"), parse.json_like(line).alias("by_looks"))
+
+
+FIELDS = ["host", "user", "time", "method", "path", "status", "size"]
+
+
+@query(
+    """WITH c AS (SELECT event_id // 5000 AS chunk_id, * FROM events), f AS (SELECT chunk_id, unnest(['host', 'user', 'time', 'method', 'path', 'status', 'size']) AS column_id, count(*) AS n, count(DISTINCT user_id) AS users FROM c GROUP BY chunk_id)
+SELECT chunk_id, column_id, CASE column_id WHEN 'host' THEN 'IPV4' WHEN 'user' THEN CASE WHEN users <= 256 THEN 'DICTIONARY' ELSE 'RAW' END WHEN 'time' THEN 'CLF' WHEN 'method' THEN 'DICTIONARY' WHEN 'path' THEN 'PATH' ELSE 'NUMBER' END AS column_type,
+  n AS n_present, n AS n_same FROM f"""
+)
+def access_columns(spark, sf_dir):
+    """Access log lines parsed into fields, each field a column encoded by its type, and how many values
+    come back."""
+    rows = known_lines(spark, sf_dir)["access"].withColumn("p", parse.parse_access(F.col("line")))
+    rows = rows.select(F.floor(F.col("line_no") / 5000).alias("chunk_id"), "line_no", *(f"p.{c}" for c in FIELDS))
+    cells = rows.unpivot(["chunk_id", "line_no"], FIELDS, "column_id", "value")
+    made = encoders.encode_columns(cells, KEYS, "line_no", keep=kept(spark))
+    back = encoders.decode_columns(made, KEYS, "line_no").withColumnRenamed("value", "decoded")
+    same = cells.join(back, [*KEYS, "line_no"]).groupBy(*KEYS).agg(F.count_if(F.col("value") == F.col("decoded")).alias("n_same"))
+    return made.columns.select(*KEYS, "column_type", "n_present").join(same, KEYS)
+
+
+@query(LINES + "SELECT stream_id, line_no, line AS restored, len(regexp_extract_all(line, '[0-9]+')) > 0 AS masked FROM lines")
+def masked_columns(spark, sf_dir):
+    """Lines as typed masks with a dictionary, their variables as columns by type and place, and the lines
+    again."""
+    lines = document_lines(spark, sf_dir).withColumn("template", parse.typed_mask(F.col("line"))).withColumn("variables", parse.typed_variables(F.col("line")))
+    chunk = (F.col("stream_id").cast("long") / 500).cast("long")
+    rows = lines.select(chunk.alias("chunk_id"), "stream_id", F.struct(F.col("stream_id").cast("long").alias("doc"), "line_no").alias("at"), "line_no", "line", "template", "variables")
+    cells = rows.select("chunk_id", "at", F.posexplode("variables").alias("place", "v")).select("chunk_id", F.concat_ws(".", "v.type", "place").alias("column_id"), "at", F.col("v.value").alias("value"))
+    templates = rows.select("chunk_id", F.lit("template").alias("column_id"), "at", F.col("template").alias("value"))
+    made = encoders.encode_columns(cells.unionByName(templates), KEYS, "at", keep=kept(spark))
+    back = encoders.decode_columns(made, KEYS, "at")
+    place = F.substring_index("column_id", ".", -1).try_cast("int")
+    values = back.filter("column_id != 'template'").groupBy("chunk_id", "at").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "value"))), lambda x: F.struct(x["value"].alias("value"))).alias("variables"))
+    whole = back.filter("column_id = 'template'").select("chunk_id", "at", F.col("value").alias("template")).join(values, ["chunk_id", "at"], "left")
+    restored = parse.restore_mask(F.col("template"), F.coalesce("variables", F.expr("cast(array() as array<struct<value:string>>)")))
+    return whole.select(F.col("at.doc").cast("string").alias("stream_id"), F.col("at.line_no").alias("line_no"), restored.alias("restored"), F.col("template").rlike("<(IP|UUID|BLK|HEX|BIGINT|FLOAT|INT)>|[0-9]").alias("masked"))

@@ -30,6 +30,7 @@ def write_templates(lines: DataFrame, path: str, checkpoint: str):
     def batch(df: DataFrame, number: int) -> None:
         chunk = df.withColumn("chunk_id", F.lit(number).cast("long"))
         rows, found = templates.encode_text(chunk, ["stream_id", "chunk_id"])
+        found = found.withColumn("template_id", F.md5(F.encode("template", "UTF-8")))  # 128 bits, as batches look templates up by it
         out = f"{path}/rows/batch={number}"
         rows.join(found.select("stream_id", "chunk_id", "cluster", "template_id"), ["stream_id", "chunk_id", "cluster"], "left").write.mode("overwrite").parquet(out)
         new = found.select("template_id", "template", "n_variables").distinct()
