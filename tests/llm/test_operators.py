@@ -236,6 +236,25 @@ def test_candidates_against_a_walk(spark, sf_dir, forest):
     assert sum(r["n_candidates"] for r in rows) == sum(len(r["findings"]) for r in rows) > 0
 
 
+def test_forest_against_a_walk(spark, forest):
+    """The CASE expressions give what walking every tree gives."""
+    rows = secret_scan.made_findings(spark, 300, first=9000)
+    found = secret_scan.describe(F.col("value"), F.col("before"), F.col("joint"), F.col("path"), forest.bits)
+    rows = rows.select(*(c.cast("double").alias(n) for n, c in found.items())).withColumn("p", secret_scan.forest_score(forest, F.col)).collect()
+
+    def leaf(node, r):
+        while not isinstance(node, float):
+            index, threshold, left, right = node
+            node = left if r[secret_scan.FEATURES[index]] <= threshold else right
+        return node
+
+    for r in rows:
+        assert r["p"] == pytest.approx(sum(leaf(t, r) for t in forest.trees) / len(forest.trees), abs=1e-12)
+    words = vocabulary_words()
+    known = spark.createDataFrame([(w,) for w in [*words[:500], "qzxvkj"]], "w string").select("w", secret_scan._in_dictionary(F.col("w"), forest.bits).alias("known")).collect()
+    assert all(r["known"] for r in known[:500]) and not known[500]["known"]
+
+
 # --- token counts
 
 

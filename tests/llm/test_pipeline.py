@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stratalog.llm import toxicity
+from stratalog.llm import secret_scan, toxicity
+from stratalog.llm.queries import vocabulary_words
 from tests.llm.test_operators import brute_components, brute_leaks
 
 SF = "/root/testdata/sf0.01"
@@ -58,6 +59,15 @@ def test_secrets(stages):
     changed = [k for k in old if old[k]["text"] != new[k]["text"]]
     assert changed and all("[REDACTED]" in new[k]["text"] and new[k]["n_chars"] == len(new[k]["text"]) for k in changed)
     assert not after.filter(F.col("text").rlike(r'token = "[0-9a-f]{40}"')).count()
+    # the stage's texts are its input with the spans of the findings cut out, by plain slicing
+    found = secret_scan.scan(before, secret_scan.train(secret_scan.made_findings(spark), vocabulary_words())).collect()
+    for r in found:
+        text, at, out = r["text"], 0, []
+        for f in r["findings"]:
+            assert text[f["start"] : f["start"] + f["length"]] == f["value"] and f["start"] >= at
+            out += [text[at : f["start"]], "[REDACTED]"]
+            at = f["start"] + f["length"]
+        assert new[r["doc_id"]]["text"] == ("".join(out) + text[at:] if out else text)
 
 
 def test_encoding(stages):
