@@ -51,7 +51,7 @@ def test_leaks(stages):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r, (_, hit, _) in zip(rows, leaks) if not hit}
 
 
-def test_secrets(stages):
+def test_secrets(spark, stages):
     _, before, after = stages[3]
     old = {r["doc_id"]: r for r in before.collect()}
     new = {r["doc_id"]: r for r in after.collect()}
