@@ -330,6 +330,39 @@ def test_isolation_forest_finds_the_odd_one():
     assert s[-1] > np.quantile(s[:-1], 0.99)
     assert quality_rules.calibrate([0.1, 0.2, 0.9], [True, True, False]) == pytest.approx(0.55)
     assert quality_rules.calibrate([0.1], [True]) == 2.0
+    scores, good, counts = [0.1, 0.2, 0.3, 0.3, 0.4, 0.5], [True, True, True, False, False, True], [700, 0, 299, 1, 60, 1]
+    assert quality_rules.calibrate(scores, good, counts=counts) == quality_rules.calibrate(np.repeat(scores, counts), np.repeat(good, counts)) == pytest.approx(0.35)
+
+
+def test_rules_are_fitted_on_every_row(spark):
+    """Every labelled row counts: 6000 good ones, 5000 bad ones, and 4000 good ones of one id that look
+    like half of the bad ones, so that these can't be rejected."""
+    import numpy as np
+
+    i = F.col("id")
+    marks = F.when(i.between(6_000, 10_999), 100 + i % 2 * 100).when(i.between(11_000, 14_999), 100).otherwise(0)
+    counts = {"n_words": 100, "word_chars": 500, "n_symbols": i % 7, "n_dup_lines": 0, "n_repeat_words": 0, "n_distinct": 90, "n_upper": i % 3 * 100, "n_letters": 500, "n_marks": marks, "n_bare": 0}
+    doc_id = F.when(i < 11_000, i).when(i < 15_000, 11_000).alias("doc_id")
+    stats = spark.range(20_000).select(doc_id, *(F.lit(v).cast("long").alias(c) for c, v in counts.items()), "id")
+    labels = spark.range(11_001).select(i.alias("doc_id"), ((i < 6_000) | (i == 11_000)).cast("int").alias("quality"))
+    forest = quality_rules.fit(stats, labels)
+    x = quality_rules.features(stats.orderBy("id").select(*quality_rules.COUNTS).toPandas().to_numpy())
+    good = np.array([k < 6_000 or k >= 11_000 for k in range(15_000)])
+    assert forest.threshold == pytest.approx(quality_rules.calibrate(forest.score(x[:15_000]), good))
+    rejected = forest.score(x[:15_000]) >= forest.threshold
+    assert rejected[good].mean() <= 0.005 and rejected[~good].any()
+    rows = quality_rules.rate_counts(stats, labels).collect()
+    for name, own in (("n", x), ("n_good", x[:15_000][good]), ("n_bad", x[:15_000][~good])):
+        assert {tuple(r["rates"]): r[name] for r in rows if r[name]} == collections.Counter(map(tuple, own))
+
+
+def test_rules_of_rows_that_are_all_the_same(spark):
+    """Rows of one id with the same counts are as many as they are, for the forest as well."""
+    counts = {c: {"n_words": 40, "word_chars": 160, "n_distinct": 40}.get(c, 0) for c in quality_rules.COUNTS}
+    stats = spark.range(1_000_000).select(F.lit(None).cast("long").alias("doc_id"), *(F.lit(v).cast("long").alias(c) for c, v in counts.items()))
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    forest = quality_rules.fit(stats, labels)
+    assert forest.size == quality_rules.SAMPLE and quality_rules.judge(stats, forest).filter("kept").count() == 1_000_000
 
 
 # --- quality classifier
